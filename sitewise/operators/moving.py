@@ -9,6 +9,12 @@ from pyspark.sql.window import Window
 from sitewise.operators.ranking import ranked
 
 
+def seconds_of(interval):
+    """Length of a day-time interval; needs no time zone."""
+    parts = {"DAY": 86400, "HOUR": 3600, "MINUTE": 60, "SECOND": 1}
+    return sum(F.extract(F.lit(p), interval).cast("double") * F.lit(float(s)) for p, s in parts.items())
+
+
 def moving_rate(log: DataFrame, run: str, order: list[str], time: str, amount: str, n: int, block: int = 65536):
     """Rows, amount and amount per second over the last n rows of each run.
 
@@ -21,13 +27,13 @@ def moving_rate(log: DataFrame, run: str, order: list[str], time: str, amount: s
     helps_next = F.pmod(F.col("_place"), F.lit(block)) > F.lit(block - n)
     blocks = F.when(helps_next, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
     frame = Window.partitionBy(run, "_block").orderBy("_place").rowsBetween(-(n - 1), 0)
-    seconds = F.unix_micros(F.col(time)) - F.min(F.unix_micros(F.col(time))).over(frame)
+    since = F.col(time) - F.min(time).over(frame)
     return (
         placed.withColumn("_block", F.explode(blocks))
         .withColumn("num_rows", F.count("*").over(frame))
         .withColumn("amount", F.sum(amount).over(frame))
-        .withColumn("seconds", seconds / F.lit(1_000_000))
+        .withColumn("seconds", seconds_of(since))
         .where("_block = _own")
         .withColumn("rate", F.try_divide(F.col("amount"), F.col("seconds")))
-        .select(run, *order, "num_rows", F.col("amount").alias("amount"), "seconds", "rate")
+        .select(run, *order, "num_rows", "amount", "seconds", "rate")
     )
