@@ -21,17 +21,22 @@ def tile_sequences(contigs: DataFrame, width: int, overlap: int, chr_: str = "ch
     """
     pieces = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
     following = -(-overlap // width)
-    cut = contigs.select(chr_, F.length(seq).alias("seq_len"), pieces.alias("_p"))
-    rest = F.array_join(F.slice("_p", F.col("_t") + 2, F.lit(following)), "") if following else F.lit("")
-    return (
-        cut.where(F.size("_p") > 0)
-        .select(chr_, "seq_len", "_p", F.explode(F.sequence(F.lit(0), F.size("_p") - 1)).alias("_t"))
-        .select(
-            chr_,
-            F.col("_t").cast("bigint").alias("tile"),
-            F.concat(F.element_at("_p", F.col("_t") + 1), F.substring(rest, 1, overlap)).alias("seq"),
-            "seq_len",
+    cut = contigs.select(chr_, F.length(seq).alias("_len"), pieces.alias("_p"))
+
+    def tile(piece, i):
+        rest = F.array_join(F.slice("_p", i + 2, F.lit(following)), "") if following else F.lit("")
+        return F.struct(
+            i.cast("bigint").alias("tile"),
+            F.concat(piece, F.substring(rest, 1, overlap)).alias("seq"),
+            F.col("_len").alias("seq_len"),
         )
+
+    # All columns of a tile come out of the generator, so a join behind it cannot compute them again
+    # for each site. The outer form keeps Spark from adding a filter that cuts each contig twice.
+    return (
+        cut.select(chr_, F.explode_outer(F.transform("_p", tile)).alias("_t"))
+        .where("_t.tile is not null")
+        .select(chr_, "_t.tile", "_t.seq", "_t.seq_len")
     )
 
 

@@ -9,9 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values of the test genome: letters of a text and the bases they stand for.
+from sitewise.operators.layout import spread_rows
+
+# Fixed values of the test genome: characters of a text and the bases they stand for. All
+# other characters are unknown bases.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-BASES = "acgtacgtanntacgtacgtacgtac"
+BASES = "acgtacgtacgtacgtacgtacgtac"
+OTHERS = " .,\néóèñüçêäößí"
+OTHER_BASES = "acgtacgtacgtacg"
+FROM_TEXT = LETTERS + LETTERS.upper() + OTHERS
+TO_BASES = BASES + BASES.upper() + OTHER_BASES
 
 WINDOW = 200  # bases of a site window in the registered queries
 TILE = 1024  # tile width in the registered queries
@@ -26,8 +33,24 @@ NEEDS: dict[str, list[str]] = {
 }
 
 
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+                 o_orderdate timestamp_ntz, o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+                   l_extendedprice double, l_discount double, l_tax double, l_returnflag string,
+                   l_linestatus string, l_shipdate timestamp_ntz""",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A given table by its declared schema; no job runs to look at the file."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{d}/{name}.parquet")
 
 
 def chr_name(i):
@@ -41,25 +64,29 @@ _CHR_SQL = "case when {i} = 22 then 'chrX' when {i} = 23 then 'chrY' else concat
 
 def genome(spark: SparkSession, d: str) -> DataFrame:
     """Each document is a contig; the 24 first ones are the known chromosomes."""
-    kept = F.regexp_replace("text", "[^A-Za-z]", "")
-    seq = F.translate(kept, LETTERS + LETTERS.upper(), BASES + BASES.upper())
-    return (
-        table(spark, d, "documents")
-        .select("doc_id", chr_name(F.col("doc_id")).alias("chr"), seq.alias("seq"))
-        .where("seq <> ''")
-        .withColumn("seq_len", F.length("seq").cast("bigint"))
+    seq = F.regexp_replace(F.translate("text", FROM_TEXT, TO_BASES), "[^acgtACGT]", "N")
+    texts = table(spark, d, "documents").where("n_chars > 0").select("doc_id", "n_chars", "text")
+    return spread_rows(texts, "doc_id").select(
+        "doc_id", chr_name(F.col("doc_id")).alias("chr"), seq.alias("seq"), F.col("n_chars").alias("seq_len")
     )
 
 
 CTE["genome"] = f"""
-select doc_id, chr, seq, length(seq) as seq_len from (
-  select doc_id, {_CHR_SQL.format(i="doc_id")} as chr,
-         translate(regexp_replace(text, '[^A-Za-z]', '', 'g'),
-                   '{LETTERS + LETTERS.upper()}', '{BASES + BASES.upper()}') as seq
-  from documents) where seq <> ''
+select doc_id, {_CHR_SQL.format(i="doc_id")} as chr,
+       regexp_replace(translate(text, '{FROM_TEXT}', '{TO_BASES}'), '[^acgtACGT]', 'N', 'g') as seq, n_chars as seq_len
+from documents where n_chars > 0
 """
 
 
+def contig_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Length of each contig, without reading its text."""
+    return (
+        table(spark, d, "documents")
+        .where("n_chars > 0")
+        .select("doc_id", chr_name(F.col("doc_id")).alias("chr"), F.col("n_chars").alias("seq_len"))
+    )
+
+
 def locus(spark: SparkSession, d: str) -> DataFrame:
     """Sites: half of them on the known chromosomes, half spread over all contigs."""
     contigs = table(spark, d, "documents").agg(F.count("*").alias("n")).scalar()
@@ -68,7 +95,7 @@ def locus(spark: SparkSession, d: str) -> DataFrame:
     return (
         table(spark, d, "part")
         .withColumn("doc_id", home)
-        .join(genome(spark, d).select("doc_id", "chr", "seq_len"), "doc_id")
+        .join(contig_lengths(spark, d), "doc_id")
         .select(
             key.alias("cpg_idx"),
             "chr",

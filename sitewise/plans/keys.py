@@ -274,7 +274,7 @@ def lookup_by_idx(spark, d):
 )
 def rel_pos_ratio(spark, d):
     from sitewise.operators.nearest import relative_positions
-    from sitewise.plans.inputs import genes, genome
+    from sitewise.plans.inputs import contig_lengths, genes
 
     placed = genes(spark, d).select("gene_idx", "chr", F.col("start").alias("gene_pos"))
-    return relative_positions(placed, genome(spark, d)).select("gene_idx", "chr", r6("pos_ratio").alias("pos_ratio"))
+    return relative_positions(placed, contig_lengths(spark, d)).select("gene_idx", "chr", r6("pos_ratio").alias("pos_ratio"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitewise.functions import sequence as S
 from sitewise.operators import windows as W
 from sitewise.plans.book import query, rs, r6, sql
-from sitewise.plans.inputs import TILE, WINDOW, genome, locus
+from sitewise.plans.inputs import TILE, WINDOW, contig_lengths, genome, locus
 
 
 def site_windows(spark, d):
@@ -37,8 +37,8 @@ def genome_tiles(spark, d):
 
 
 @query("contig_lengths", sql("genome", "select chr, seq_len from genome"))
-def contig_lengths(spark, d):
-    return genome(spark, d).select("chr", "seq_len")
+def contig_length_table(spark, d):
+    return contig_lengths(spark, d).select("chr", "seq_len")
 
 
 @query("center_crop", sql("windows", f"select cpg_idx, substring(sequence, {WINDOW // 2} - 50 + 1, 100) as sequence from windows"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitewise.functions.labels import name_part
 from sitewise.operators import audits, ids, sets
 from sitewise.plans.book import query, r6, rs, sql
-from sitewise.plans.inputs import cohort, eval_long, ge_long, genes, genome, locus, me_long, samples, sources, table
+from sitewise.plans.inputs import cohort, contig_lengths, eval_long, ge_long, genes, locus, me_long, samples, sources, table
 
 
 @query("source_tag", sql("sources", "select group_idx, count(*) as n, min(chr_pos) as first_key from sources group by 1"))
@@ -143,7 +143,7 @@ def known_chromosome(spark, d):
     sql("genes genome", "select distinct chr from genes where chr not in (select chr from genome)"),
 )
 def contig_check(spark, d):
-    return sets.not_subset(genes(spark, d), genome(spark, d), "chr")
+    return sets.not_subset(genes(spark, d), contig_lengths(spark, d), "chr")
 
 
 @query(
