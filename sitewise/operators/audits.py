@@ -104,18 +104,18 @@ def unknown_chromosomes(df: DataFrame, chr_: str = "chr") -> DataFrame:
     return (
         df.where(chr_index(chr_).isNull())
         .groupBy(chr_)
-        .agg(F.count("*").alias("n"))
-        .select(*violation("known_chromosome", F.col(chr_), F.col("n")))
+        .agg(F.count("*").alias("_n"))
+        .select(*violation("known_chromosome", F.col(chr_), F.col("_n")))
     )
 
 
 def one_to_one(df: DataFrame, a: str, b: str) -> DataFrame:
     """Values of either column that meet more than one value of the other."""
     pairs = df.select(a, b).distinct()
-    left = pairs.groupBy(a).agg(F.count("*").alias("n")).where("n > 1")
-    right = pairs.groupBy(b).agg(F.count("*").alias("n")).where("n > 1")
-    return left.select(*violation(f"{a}_to_{b}", F.col(a), F.col("n"))).unionByName(
-        right.select(*violation(f"{b}_to_{a}", F.col(b), F.col("n")))
+    left = pairs.groupBy(a).agg(F.count("*").alias("_n")).where("_n > 1")
+    right = pairs.groupBy(b).agg(F.count("*").alias("_n")).where("_n > 1")
+    return left.select(*violation(f"{a}_to_{b}", F.col(a), F.col("_n"))).unionByName(
+        right.select(*violation(f"{b}_to_{a}", F.col(b), F.col("_n")))
     )
 
 
@@ -148,3 +148,24 @@ def any_null(columns: list[str]):
 
 def null_violations(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.where(any_null(columns)).select(*violation("not_null", F.col(key), F.lit(",".join(columns))))
+
+
+def product_violations(long: DataFrame, site: str, sample: str) -> DataFrame:
+    """A full matrix has one row per site and sample: reports the two counts when they differ."""
+    sizes = long.agg(F.count("*").alias("_rows")).select(
+        "_rows",
+        (
+            long.select(site).distinct().agg(F.count("*")).scalar()
+            * long.select(sample).distinct().agg(F.count("*")).scalar()
+        ).alias("_cells"),
+    )
+    return sizes.where("_rows <> _cells").select(*violation("full_product", F.col("_rows"), F.col("_cells")))
+
+
+def total_violations(sizes: DataFrame, expected: DataFrame, key: str, rows: str) -> DataFrame:
+    """Row counts per part against the expected ones, parts of one side only included."""
+    merged = sizes.select(key, F.col(rows).alias("_have")).join(
+        expected.select(key, F.col(rows).alias("_want")), key, "full_outer"
+    )
+    detail = F.format_string("%s rows, expected %s", F.col("_have"), F.col("_want"))
+    return merged.where(~F.col("_have").eqNullSafe(F.col("_want"))).select(*violation("row_count", F.col(key), detail))

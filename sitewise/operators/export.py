@@ -39,13 +39,14 @@ def usable_sites(
 def export_pairs(pairs: DataFrame, sites: DataFrame, samples: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs with site annotation, tissue and split number.
 
-    `pairs` carries (cpg_idx, sample_idx, methylation, split), `groups` (split, group_idx). Pairs
-    stay slim until the last join, which brings in the site annotation.
+    `pairs` carries (cpg_idx, sample_idx, methylation) and the columns `groups` numbers: split, or
+    source and split. Pairs stay slim until the last join, which brings in the site annotation.
     """
+    labels = [c for c in groups.columns if c != "group_idx"]
     site_columns = [c for c in sites.columns if c not in ("cpg_idx", "chr", "pos", "chr_pos")]
     return (
-        pairs.join(groups, "split")
-        .drop("split")
+        pairs.join(groups, labels)
+        .drop(*labels)
         .join(samples.select("sample_idx", "tissue_idx"), "sample_idx")
         .join(sites.select("cpg_idx", *site_columns), "cpg_idx")
     )
@@ -76,6 +77,12 @@ def group_table(spark, splits: list[str]) -> DataFrame:
     return spark.createDataFrame([(s, i) for i, s in enumerate(splits)], "split string, group_idx int")
 
 
+def recipe_table(spark, recipe: list[tuple[str, str]]) -> DataFrame:
+    """(source, split) pairs of an export recipe, numbered by their list position."""
+    rows = [(source, split, i) for i, (source, split) in enumerate(recipe)]
+    return spark.createDataFrame(rows, "source string, split string, group_idx int")
+
+
 def track_lines(means: DataFrame, value: str = "mean") -> DataFrame:
     """Text lines `chr, start, end, value` per tissue; missing values get no line."""
     return means.where(F.col(value).isNotNull()).select(

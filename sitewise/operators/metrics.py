@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,3 +133,12 @@ def histogram(df: DataFrame, keys: list[str], value: str, low: float, high: floa
 def metrics_wide(long: DataFrame, index: str, names: list[str]) -> DataFrame:
     """One row per index and one column per named metric, from (index, metric, value) rows."""
     return long.groupBy(index).pivot("metric", names).agg(F.first("value"))
+
+
+def side_by_side(frames: dict[str, DataFrame], key: str, value: str) -> DataFrame:
+    """One row per key and one column per named table; a key may be missing from any of them."""
+    stacked = reduce(
+        lambda a, b: a.unionByName(b),
+        [f.select(key, F.lit(n).alias("metric"), F.col(value).alias("value")) for n, f in frames.items()],
+    )
+    return metrics_wide(stacked, key, list(frames))

@@ -24,8 +24,13 @@ def staging_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
 
 
 def write_and_read(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -34,3 +39,13 @@ def write_and_read(df: DataFrame, label: str = "stage") -> DataFrame:
     path = staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staging(spark: SparkSession) -> int:
+    """Delete the tables this process has staged; call it when no result that reads them is needed."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = 0
+    while _PATHS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        deleted += path.getFileSystem(conf).delete(path, True)
+    return deleted

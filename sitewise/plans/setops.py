@@ -368,6 +368,18 @@ def merge_matrices(spark, d):
     return out.select("cpg_idx", "sample_idx", r6("methylation").alias("methylation"), "group_idx", "num_sources", "agrees")
 
 
+@query(
+    "product_check",
+    sql(
+        "me_long",
+        """select 'full_product' as "check", cast(n as varchar) as key, cast(cells as varchar) as detail from (
+             select count(*) as n, count(distinct cpg_idx) * count(distinct sample_idx) as cells from me_long) where n <> cells""",
+    ),
+)
+def product_check(spark, d):
+    return audits.product_violations(me_long(spark, d), "cpg_idx", "sample_idx")
+
+
 def _subjects(spark, d, sep: str, region_low: int, region_high: int):
     """Sample names of one platform with the subject code in their third part."""
     subject = (F.col("sample_idx") % 40).cast("string")

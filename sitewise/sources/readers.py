@@ -117,7 +117,7 @@ def read_gtf(spark: SparkSession, path: str, attributes: list[str] = ["gene_id",
 
 def read_json_map(spark: SparkSession, path: str, key: str = "group_idx", value: str = "name") -> DataFrame:
     """A JSON object as (key, value) rows."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     pairs = F.from_json("value", "map<string,string>")
     return text.select(F.explode(pairs).alias(key, value)).withColumn(key, F.col(key).cast("int"))
 
@@ -131,10 +131,9 @@ def first_shards(paths: list[str], n: int | None) -> list[str]:
 def read_metric_tree(spark: SparkSession, root: str) -> DataFrame:
     """(name, metric, value) rows from a tree of JSON files; the name is the file name."""
     text = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .text(root)
+        .text(root, wholetext=True)
     )
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
     return text.select(name.alias("name"), F.explode(F.from_json("value", "map<string,double>")).alias("metric", "value"))
