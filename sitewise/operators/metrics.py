@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.numeric import abs_error, both_present, safe_corr, squared_error
 from sitewise.operators.ranking import exact_quantiles
+from sitewise.operators.staging import write_and_read
 
 PRED, TRUTH = "pred_methyl", "gt_methyl"
 
@@ -64,35 +65,50 @@ def loss_by_each_key(df: DataFrame, keys: list[str]) -> DataFrame:
 def metric_summary(df: DataFrame, group: str = "group_idx") -> DataFrame:
     """Losses per split and mean and median of the per-site and per-sample correlations.
 
-    The two correlation tables are stacked, so the medians of both take one ranking job.
+    The facts are read twice, once per key. The per-sample pass also carries the sums of the
+    losses. Both small tables are stacked and written, and all that follows reads them.
     """
-    losses = loss_by(df, [group]).select(
-        group, F.col("mse").alias("mse_loss_per_point"), F.col("mae").alias("mae_loss_per_point")
+    rows = complete_rows(df)
+    pcc = safe_corr(PRED, TRUTH).alias("pcc")
+    by_site = rows.groupBy(group, "cpg_idx").agg(pcc)
+    by_sample = rows.groupBy(group, "sample_idx").agg(
+        pcc,
+        F.count("*").alias("n"),
+        F.sum(squared_error(PRED, TRUTH)).alias("squares"),
+        F.sum(abs_error(PRED, TRUTH)).alias("absolutes"),
     )
-    pccs = (
-        correlation_by(df, [group, "cpg_idx"])
-        .select(group, F.lit("cpg").alias("level"), F.col("cpg_idx").alias("key"), "pcc")
-        .unionByName(
-            correlation_by(df, [group, "sample_idx"]).select(
-                group, F.lit("sample").alias("level"), F.col("sample_idx").alias("key"), "pcc"
-            )
-        )
-        .where("pcc is not null")
+    scores = write_and_read(
+        by_site.select(group, F.lit("cpg").alias("level"), F.col("cpg_idx").alias("key"), "pcc").unionByName(
+            by_sample.withColumns({"level": F.lit("sample"), "key": F.col("sample_idx")}).drop("sample_idx"),
+            allowMissingColumns=True,
+        ),
+        "scores",
     )
+    pccs = scores.where("pcc is not null").select(group, "level", "key", "pcc")
     medians = exact_quantiles(pccs, [group, "level"], "pcc", [0.5], tie=["key"])
-    means = pccs.groupBy(group, "level").agg(F.avg("pcc").alias("mean"))
-    per_level = means.join(medians.select(group, "level", F.col("quantile").alias("median")), [group, "level"])
 
-    def pick(level: str, stat: str):
-        return F.max(F.when(F.col("level") == level, F.col(stat)))
+    def per_level(stat, source: DataFrame, column: str) -> DataFrame:
+        return source.groupBy(group).agg(
+            *[stat(F.when(F.col("level") == level, F.col(column))).alias(f"{level}_{column}") for level in ("cpg", "sample")]
+        )
 
-    wide = per_level.groupBy(group).agg(
-        pick("cpg", "mean").alias("pcc_by_cpg_mean"),
-        pick("sample", "mean").alias("pcc_by_sample_mean"),
-        pick("cpg", "median").alias("pcc_by_cpg_median"),
-        pick("sample", "median").alias("pcc_by_sample_median"),
+    losses = scores.groupBy(group).agg(
+        F.try_divide(F.sum("squares"), F.sum("n")).alias("mse_loss_per_point"),
+        F.try_divide(F.sum("absolutes"), F.sum("n")).alias("mae_loss_per_point"),
+    )
+    return (
+        losses.join(per_level(F.avg, pccs, "pcc"), group, "left")
+        .join(per_level(F.max, medians, "quantile"), group, "left")
+        .select(
+            group,
+            "mse_loss_per_point",
+            "mae_loss_per_point",
+            F.col("cpg_pcc").alias("pcc_by_cpg_mean"),
+            F.col("sample_pcc").alias("pcc_by_sample_mean"),
+            F.col("cpg_quantile").alias("pcc_by_cpg_median"),
+            F.col("sample_quantile").alias("pcc_by_sample_median"),
+        )
     )
-    return losses.join(wide, group, "left")
 
 
 def group_sizes_equal(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,13 +26,16 @@ def moving_rate(log: DataFrame, run: str, order: list[str], time: str, amount: s
     placed = ranked(log, [run], order, "_place").withColumn("_own", F.floor(F.col("_place") / F.lit(block)))
     helps_next = F.pmod(F.col("_place"), F.lit(block)) > F.lit(block - n)
     blocks = F.when(helps_next, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
-    frame = Window.partitionBy(run, "_block").orderBy("_place").rowsBetween(-(n - 1), 0)
-    since = F.col(time) - F.min(time).over(frame)
+    in_order = Window.partitionBy(run, "_block").orderBy("_place")
+    last_n = in_order.rowsBetween(-(n - 1), 0)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    # Offsets and running frames cost the same for any n; only the sum slides.
+    start = F.coalesce(F.lag(time, n - 1).over(in_order), F.first(time).over(so_far))
     return (
         placed.withColumn("_block", F.explode(blocks))
-        .withColumn("num_rows", F.count("*").over(frame))
-        .withColumn("amount", F.sum(amount).over(frame))
-        .withColumn("seconds", seconds_of(since))
+        .withColumn("num_rows", F.least(F.col("_place") + 1, F.lit(n)))
+        .withColumn("amount", F.sum(amount).over(last_n))
+        .withColumn("seconds", seconds_of(F.col(time) - start))
         .where("_block = _own")
         .withColumn("rate", F.try_divide(F.col("amount"), F.col("seconds")))
         .select(run, *order, "num_rows", "amount", "seconds", "rate")

@@ -110,17 +110,38 @@ def hash_ranked(
     return out.drop("_hash", "_bucket", "_before", "_total", "_inside")
 
 
+BUILT_IN_LIMIT = 1_000_000  # rows a single percentile buffer may hold
+
+
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], tie: list[str] | None = None
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    probs: list[float],
+    tie: list[str] | None = None,
+    built_in_limit: int = BUILT_IN_LIMIT,
 ) -> DataFrame:
     """Rows (keys, n, q_no, q, quantile) with linear interpolation, nulls left out.
 
-    The built-in exact percentile keeps every distinct value of a group in one buffer. Here the
+    The built-in percentile keeps the distinct values of a group in one buffer, so it is used only
+    when the counted rows of all groups together stay below `built_in_limit`. Beyond that the
     values are placed by `ranked` and only the rows at the wanted positions are read. `tie` names
     columns that tell equal values apart, so that a value shared by many rows is split as well.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value, *(tie or []))
-    placed = ranked(rows, keys, [value, *(tie or [])], "_pos")
+    rows = write_and_read(df.where(F.col(value).isNotNull()).select(*keys, value, *(tie or [])), "values")
+    if rows.count() <= built_in_limit:
+        marks = F.array(*[F.lit(float(q)) for q in probs])
+        return (
+            rows.groupBy(*keys)
+            .agg(F.count("*").alias("n"), F.percentile(value, marks).alias("_q"))
+            .where("n > 0")
+            .select(*keys, "n", F.posexplode("_q").alias("q_no", "quantile"))
+            .select(*keys, "n", "q_no", F.element_at(marks, F.col("q_no") + 1).alias("q"), "quantile")
+        )
+    return _quantiles_by_position(ranked(rows, keys, [value, *(tie or [])], "_pos"), keys, value, probs)
+
+
+def _quantiles_by_position(placed: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     wanted = F.explode(
         F.array(*[F.struct(F.lit(i).alias("q_no"), F.lit(float(q)).alias("q")) for i, q in enumerate(probs)])
     )

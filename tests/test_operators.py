@@ -42,12 +42,13 @@ def test_hash_ranked_is_a_permutation_and_repeats(spark):
     assert (a.merge(c, on=["k", "id"]).eval("r_x != r_y")).any()
 
 
-def test_exact_quantiles_equal_pandas(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_exact_quantiles_equal_pandas(spark, limit):
     pdf = skewed()
     pdf.loc[::17, "v"] = np.nan
     probs = [0.0, 0.1, 0.5, 0.77, 1.0]
     df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    got = ranking.exact_quantiles(df, ["k"], "v", probs, ["id"]).toPandas().set_index(["k", "q"])["quantile"].sort_index()
+    got = ranking.exact_quantiles(df, ["k"], "v", probs, ["id"], limit).toPandas().set_index(["k", "q"])["quantile"].sort_index()
     want = pdf.groupby("k")["v"].quantile(probs).sort_index()
     assert np.allclose(got.to_numpy(), want.to_numpy())
 
