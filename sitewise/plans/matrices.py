@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitewise.functions import arrays
+from sitewise.functions.labels import base_name
 from sitewise.operators import profile, reshape
 from sitewise.plans.book import query, r6, rs, sql
 from sitewise.plans.inputs import ge_long, me_long, samples, table
@@ -139,11 +140,8 @@ def dataset_stats(spark, d):
 )
 def shard_stats(spark, d):
     """Rows per file of two tables."""
-    from sitewise.functions.labels import base_name
-
-    rows = table(spark, d, "lineitem").select(F.lit(1).alias("one"), F.col("_metadata.file_path").alias("file"))
-    rows = rows.unionByName(table(spark, d, "orders").select(F.lit(1).alias("one"), F.col("_metadata.file_path").alias("file")))
-    return rows.groupBy(base_name("file").alias("file")).agg(F.count("one").alias("num_rows"))
+    sizes = profile.shard_sizes(table(spark, d, "lineitem")).unionByName(profile.shard_sizes(table(spark, d, "orders")))
+    return sizes.select(base_name("file").alias("file"), "num_rows")
 
 
 @query(

@@ -14,9 +14,9 @@ from sitewise.streaming import flows
 
 
 def _stream(spark, d, name: str):
-    """One table of the folder as a stream of shards."""
-    schema = table(spark, d, name).schema
-    return flows.read_shards(spark, d, schema, glob=f"{name}.parquet")
+    """One table as a stream of shards, be it a single file or a folder of files."""
+    either = f"{d}/{name}.parque[t]"  # a pattern, as a stream takes no plain file name
+    return flows.read_shards(spark, either, table(spark, d, name).schema)
 
 
 def _drain(spark, stream):
