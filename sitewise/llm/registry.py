@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import mixing, sharding
+from sitewise.llm import mixing, quality_rules, sharding
 from sitewise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op4_fertility_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality_rules.judge(docs, text=False).select("doc_id", "_m.*", "_v.*")
+
+
 @query
 def op5_ring_shards(spark, sf_dir):
     from pyspark.sql import functions as F
