@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import mixing, quality_rules, sharding
+from sitewise.llm import mixing, quality_rules, sharding, warc
 from sitewise.llm.common import table
+from sitewise.operators.staging import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +79,22 @@ select doc_id, source, size, source_size, target,
        (size * sum((used <= (select sum(size) * 1.5::double from sized))::int))::bigint as taken
 from served group by doc_id, source, size, source_size, target
 """
+
+
+@query
+def op8_warc_segments(spark, sf_dir):
+    path = staging_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path)
+
+
+ORACLE["op8_warc_segments"] = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+s as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha256(h) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from s where payload_bytes >= 100 group by 1)
+select s.page_id, s.payload_bytes, s.payload_digest,
+       case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+       case when first <> page_id then first end as refers_to,
+       true as intact
+from s left join f on f.payload_digest = s.payload_digest
+"""
