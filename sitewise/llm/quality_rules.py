@@ -38,7 +38,7 @@ PIECE_FILE = "piece_bpe_32k.model"
 #: Fixed value: how the byte-level vocabulary cuts text before merging.
 BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words whose tokens a worker remembers; beyond that it starts anew.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 400_000
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -83,53 +83,75 @@ class WordTokens:
         self.bpe = tiktoken.Encoding("words", pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, PIECE_FILE))
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+        self.opens_word = np.array([self.pieces.id_to_piece(i)[:1] == "\u2581" for i in range(len(self.is_byte))])
+        self.opens_bpe = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.opens_bpe[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self.words_kept = words_kept
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.int32)
-        self.start = np.zeros(1 << 14, dtype=np.int64)
-        self.count = np.zeros(1 << 14, dtype=np.int64)
-        self.n_pieces = np.zeros(1 << 14, dtype=np.int64)
-        self.n_bytes = np.zeros(1 << 14, dtype=np.int64)
+        self.flat = np.zeros(1 << 20, dtype=np.int32)
+        self.start, self.count, self.n_pieces, self.n_bytes = (np.zeros(1 << 18, dtype=np.int32) for _ in range(4))
         self.used = 0
 
+    def _pieces_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and bare bytes of each word. The words are encoded as one line where that keeps them
+        apart, and one by one where a character of theirs is normalised to white space."""
+        ids = np.array(self.pieces.encode(" ".join(texts), num_threads=1), dtype=np.int64)
+        word = np.cumsum(self.opens_word[ids]) - 1
+        if not len(word) or word[0] != 0 or word[-1] != len(texts) - 1:
+            apart = [np.array(x, dtype=np.int64) for x in self.pieces.encode(texts, num_threads=1)]
+            word = np.repeat(np.arange(len(texts)), [len(x) for x in apart])
+            ids = np.concatenate([*apart, np.zeros(0, dtype=np.int64)])
+        bare = np.bincount(word, weights=self.is_byte[ids], minlength=len(texts))
+        return np.bincount(word, minlength=len(texts)), bare.astype(np.int64)
+
     def learn(self, words: list[bytes]) -> None:
+        """Store the tokens of new words. A word's first token starts with the space before it."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        pieces = self.pieces.encode(texts, num_threads=1)
-        for word, text, ids in zip(words, texts, pieces, strict=True):
-            tokens = self.bpe.encode_ordinary(" " + text)
-            i = len(self.index)
-            if i == len(self.start):
-                for name in ("start", "count", "n_pieces", "n_bytes"):
-                    setattr(self, name, np.concatenate([getattr(self, name), np.zeros(i, dtype=np.int64)]))
-            while self.used + len(tokens) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(tokens)] = tokens
-            self.start[i], self.count[i] = self.used, len(tokens)
-            self.n_pieces[i], self.n_bytes[i] = len(ids), int(self.is_byte[ids].sum()) if ids else 0
-            self.used += len(tokens)
-            self.index[word] = i
-
-    def measure(self, seen: dict[bytes, int], ids: np.ndarray) -> tuple[int, int, int, float]:
-        """Tokens, pieces, pieces that are bytes, and token entropy in bits."""
+        n, i = len(words), len(self.index)
+        tokens = np.array(self.bpe.encode_ordinary(" " + " ".join(texts)), dtype=np.int32)
+        first = np.flatnonzero(self.opens_bpe[tokens])
+        if len(first) != n:
+            apart = [self.bpe.encode_ordinary(" " + t) for t in texts]
+            tokens = np.array([t for x in apart for t in x], dtype=np.int32)
+            first = np.cumsum([0, *(len(x) for x in apart[:-1])])
+        while i + n > len(self.start):
+            for name in ("start", "count", "n_pieces", "n_bytes"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros(len(self.start), dtype=np.int32)]))
+        while self.used + len(tokens) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(tokens)] = tokens
+        self.start[i : i + n] = self.used + first
+        self.count[i : i + n] = np.diff(np.append(first, len(tokens)))
+        self.n_pieces[i : i + n], self.n_bytes[i : i + n] = self._pieces_of(texts)
+        self.used += len(tokens)
+        self.index.update(zip(words, range(i, i + n), strict=True))
+
+    def prepare(self, vocabularies: list[dict[bytes, int]]) -> None:
+        """Make sure that the words of a batch of texts are stored."""
         if len(self.index) > self.words_kept:
             self.clear()
-        new = [w for w in seen if w not in self.index]
+        new = dict.fromkeys(w for seen in vocabularies for w in seen if w not in self.index)
         if new:
-            self.learn(new)
-        at = np.array([self.index[w] for w in seen], dtype=np.int64)
+            self.learn(list(new))
+
+    def measure(self, seen: dict[bytes, int], ids: np.ndarray) -> tuple[int, int, int, float]:
+        """Tokens, pieces, pieces that are bytes, and token entropy in bits, of a text whose words are stored."""
+        at = np.fromiter(map(self.index.__getitem__, seen), dtype=np.int64, count=len(seen))
         times = np.bincount(ids, minlength=len(at))
         length = self.count[at]
-        first = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(length)[:-1]]), length)
+        first = np.repeat(self.start[at] - np.cumsum(length) + length, length)
         tokens = self.flat[first + np.arange(len(first))]
-        _, where = np.unique(tokens, return_inverse=True)
-        share = np.bincount(where, weights=np.repeat(times, length))
-        total = share.sum()
-        share = share / total if total else share
-        entropy = float(-(share * np.log2(share)).sum()) if total else 0.0
-        return int(total), int((self.n_pieces[at] * times).sum()), int((self.n_bytes[at] * times).sum()), entropy
+        order = np.argsort(tokens)
+        sorted_tokens = tokens[order]
+        heads = np.flatnonzero(np.concatenate([[True], sorted_tokens[1:] != sorted_tokens[:-1]]))
+        share = np.add.reduceat(np.repeat(times, length)[order], heads).astype(np.float64)
+        total = int(share.sum())
+        share /= total
+        entropy = float(-(share * np.log2(share)).sum())
+        return total, int((self.n_pieces[at] * times).sum()), int((self.n_bytes[at] * times).sum()), entropy
 
 
 _STORES: dict[str, WordTokens] = {}
@@ -158,9 +180,10 @@ def measure_texts(folder: str):
 
     def measure(texts: list) -> list[dict]:
         out = []
-        for text in texts:
-            text = text or ""
-            row, seen, ids = base_counts(text)
+        texts = [text or "" for text in texts]
+        counted = [base_counts(text) for text in texts]
+        tokens.prepare([seen for _, seen, _ in counted])
+        for text, (row, seen, ids) in zip(texts, counted, strict=True):
             n, pieces, bare, entropy = tokens.measure(seen, ids) if len(ids) else (0, 0, 0, 0.0)
             out.append(
                 row
