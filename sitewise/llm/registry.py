@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import mixing, quality_rules, sharding, warc
+from sitewise.llm import fingerprint, mixing, quality_rules, sharding, warc
 from sitewise.llm.common import table
 from sitewise.operators.staging import staging_path
 
@@ -36,6 +36,11 @@ def op5_ring_shards(spark, sf_dir):
     )
 
 
+@query
+def op6_paragraph_sketch(spark, sf_dir):
+    return fingerprint.fingerprint_versions(table(spark, sf_dir, "documents")).drop("recovered")
+
+
 @query
 def op7_fair_mix(spark, sf_dir):
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -98,3 +103,38 @@ select s.page_id, s.payload_bytes, s.payload_digest,
        true as intact
 from s left join f on f.payload_digest = s.payload_digest
 """
+
+
+ORACLE["op6_paragraph_sketch"] = r"""
+with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, ''))::bigint as n_chars from documents),
+n as (
+  select *, coalesce(lead(text) over (order by doc_id, text), (select first(text order by doc_id, text) from d)) as next_text from d),
+e as (
+  select *, substr(text, 1, n_chars - n_chars // 4) || substr(next_text, 1, n_chars // 4) as edited from n),
+k as (
+  select doc_id, n_chars, sha256(edited) as edited_sha256,
+         list_distinct([('0x' || substr(md5(x), 1, 15))::bigint for x in regexp_extract_all(text, '(?:[^ \n]+ ?){1,64}')]) as a,
+         list_distinct([('0x' || substr(md5(x), 1, 15))::bigint for x in regexp_extract_all(edited, '(?:[^ \n]+ ?){1,64}')]) as b,
+         list_distinct([('0x' || substr(md5(x), 1, 15))::bigint for x in regexp_extract_all(next_text, '(?:[^ \n]+ ?){1,64}')]) as c
+  from e),
+items as (
+  select doc_id, 'a' as which, unnest(a) as x from k union all select doc_id, 'b', unnest(b) from k),
+placed as (
+  select doc_id, which, r * 8 + ((x >> (3 * r)) & 7) as cell, x, ((x % 2147483629) * 48271 + 11) % 2147483647 as c
+  from items, (values (0), (1), (2), (3)) v(r)),
+cells as (select doc_id, which, cell, count(*)::bigint as n, bit_xor(x) as k, bit_xor(c) as c from placed group by all),
+grid as (
+  select doc_id, which, cell from k, (values ('a'), ('b')) w(which), range(32) g(cell)),
+shown as (
+  select g.doc_id, g.which,
+         string_agg(lower(hex(coalesce(n, 0))) || '.' || lower(hex(coalesce(k, 0))) || '.' || lower(hex(coalesce(c, 0))), ' ' order by g.cell) as t
+  from grid g left join cells using (doc_id, which, cell) group by 1, 2),
+near as (
+  select doc_id, n_chars, edited_sha256, len(a) + len(b) as ab, len(list_intersect(a, b)) as iab,
+         len(a) + len(c) as ac, len(list_intersect(a, c)) as iac from k)
+select near.doc_id, n_chars, edited_sha256, sa.t as fingerprint, sb.t as edited_fingerprint,
+       case when ab = 0 then 1.0::double else (2 * iab)::double / (2 * ab - 2 * iab)::double end as near_edited,
+       case when ac = 0 then 1.0::double else (2 * iac)::double / (2 * ac - 2 * iac)::double end as near_next
+from near join shown sa on sa.doc_id = near.doc_id and sa.which = 'a'
+join shown sb on sb.doc_id = near.doc_id and sb.which = 'b'
+"""
