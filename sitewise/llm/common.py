@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sitewise.operators.staging import write_and_read
+
 #: A word: a run of characters other than space and the controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one window task should hold.
@@ -48,3 +50,24 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     for c in on[1:]:
         cond = cond & c
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def remainder(modulus: int, key: str = "doc_id") -> Column:
+    """crc32 of the id's text, modulo; null for a null id."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, learnable: Column, most: dict[int, int]
+) -> DataFrame:
+    """Rows (text, label) with different texts, at most `most[value]` rows of each label, by hash of the id."""
+    given = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    given = given.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    order = F.md5(F.col("doc_id").cast("string"))
+    picks = [given.where(F.col("label") == v).orderBy(order, "doc_id").limit(n) for v, n in most.items()]
+    picked = picks[0]
+    for p in picks[1:]:
+        picked = picked.unionByName(p)
+    # The picked ids are bounded by `most`.
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")
+    return write_and_read(rows.groupBy("text").agg(F.max("label").alias("label")), "labelled")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import fingerprint, mixing, quality_rules, sharding, warc
+from sitewise.llm import fingerprint, mixing, quality_model, quality_rules, sharding, toxicity, warc
 from sitewise.llm.common import table
 from sitewise.operators.staging import staging_path
 
@@ -19,6 +19,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_toxic_lexicon(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_fertility_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -138,3 +143,8 @@ select near.doc_id, n_chars, edited_sha256, sa.t as fingerprint, sb.t as edited_
 from near join shown sa on sa.doc_id = near.doc_id and sa.which = 'a'
 join shown sb on sb.doc_id = near.doc_id and sb.which = 'b'
 """
+
+
+@query
+def op10_additive_quality(spark, sf_dir):
+    return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
