@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import fingerprint, mixing, quality_model, quality_rules, sharding, toxicity, warc
+from sitewise.llm import fingerprint, mixing, neardup, quality_model, quality_rules, sharding, toxicity, warc
 from sitewise.llm.common import table
 from sitewise.operators.staging import staging_path
 
@@ -24,6 +24,11 @@ def op2_toxic_lexicon(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_fast_sketches(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op4_fertility_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
