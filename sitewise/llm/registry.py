@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import fingerprint, mixing, neardup, quality_model, quality_rules, sharding, toxicity, warc
+from sitewise.llm import fingerprint, mixing, neardup, packing, quality_model, quality_rules, sharding, toxicity, warc
 from sitewise.llm.common import table
 from sitewise.operators.staging import staging_path
 
@@ -19,6 +19,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_toxic_lexicon(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
