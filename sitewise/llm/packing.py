@@ -115,7 +115,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
     cut = write_and_read(pieces(docs, capacity), "pieces")
     groups = max(1, -(-cut.count() // group_rows))
     order = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece", "cluster"))
-    dealt = cut.withColumn("_order", order).withColumn("_group", F.pmod(F.xxhash64("_order"), F.lit(groups)).cast("long"))
+    dealt = cut.withColumns({"_order": order, "doc_id": F.col("doc_id").cast("string")}).withColumn("_group", F.pmod(F.xxhash64("_order"), F.lit(groups)).cast("long"))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_order", "source"], na_position="last", kind="stable")
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
         placed = pack_sizes([int(n) for n in part["n_tokens"]], sources, list(part["cluster"]), capacity)
         return pd.DataFrame(
             {
-                "doc_id": part["doc_id"].to_numpy(),
+                "doc_id": part["doc_id"].to_numpy(),  # as text: pandas would turn long ids with nulls to floats
                 "source": part["source"].to_numpy(),
                 "piece": part["piece"].to_numpy(),
                 "start_token": part["start_token"].to_numpy(),
@@ -134,5 +134,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS
             }
         )
 
-    schema = "doc_id long, source string, piece long, start_token long, n_tokens long, bin_id long, bin_offset long, bin_tokens long"
-    return dealt.groupBy("_group").applyInPandas(run, schema)
+    schema = "doc_id string, source string, piece long, start_token long, n_tokens long, bin_id long, bin_offset long, bin_tokens long"
+    return dealt.groupBy("_group").applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

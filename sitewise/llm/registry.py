@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.llm import fingerprint, mixing, neardup, packing, quality_model, quality_rules, sharding, toxicity, warc
+from sitewise.llm import fingerprint, mixing, neardup, packing, quality_model, quality_rules, sharding, suffix, toxicity, warc
 from sitewise.llm.common import table
 from sitewise.operators.staging import staging_path
 
@@ -158,3 +158,8 @@ join shown sb on sb.doc_id = near.doc_id and sb.which = 'b'
 @query
 def op10_additive_quality(spark, sf_dir):
     return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_run_index(spark, sf_dir):
+    return suffix.repeat_report(table(spark, sf_dir, "documents"))
