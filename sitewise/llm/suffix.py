@@ -279,7 +279,7 @@ def _hot_repeats(stretches: DataFrame) -> DataFrame:
 
 
 def repeated_stretches(rows: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(_doc, spans): the marked stretches (start with the tie in its high bits, end) of each document."""
+    """(_doc, _spans): the marked stretches (start with the tie in its high bits, end) of each document."""
     spark = rows.sparkSession
     texts = rows.select("_doc", "_tie", "text")
     runs = texts.mapInArrow(_find_runs, _RUNS)
@@ -305,7 +305,7 @@ def repeated_stretches(rows: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     every = marks[0]
     for more in marks[1:]:
         every = every.unionByName(more)
-    spans = every.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct(F.col("at").alias("s"), F.col("run").alias("e"))).alias("spans"))
+    spans = every.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct(F.col("at").alias("s"), F.col("run").alias("e"))).alias("_spans"))
     return write_and_read(spans, "spans")
 
 
@@ -334,7 +334,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: list[list] = [[], [], [], []]
         for i in range(batch.num_rows):
             data = (batch.column("text")[i].as_py() or "").encode("utf-8", "surrogatepass")
-            left, removed, count = _without(data, batch.column("spans")[i].as_py() or [], batch.column("_tie")[i].as_py())
+            left, removed, count = _without(data, batch.column("_spans")[i].as_py() or [], batch.column("_tie")[i].as_py())
             for values, value in zip(made, (len(data), removed, count, hashlib.sha256(left).hexdigest()), strict=True):
                 values.append(value)
         columns = [batch.column("doc_id"), *(pa.array(v, pa.int64()) for v in made[:3]), pa.array(made[3], pa.string())]
@@ -352,7 +352,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
     rows = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
     marked, clean = _split_by_marks(rows)
-    cut = marked.select("doc_id", "text", "_tie", "spans").mapInArrow(_digests, _DIGEST)
+    cut = marked.select("doc_id", "text", "_tie", "_spans").mapInArrow(_digests, _DIGEST)
     body = F.coalesce(F.col("text"), F.lit(""))
     zero = F.lit(0).cast("long")
     whole = clean.select(
@@ -374,7 +374,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             texts = []
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py()
-                spans = batch.column("spans")[i].as_py() or []
+                spans = batch.column("_spans")[i].as_py() or []
                 if text and spans:
                     left, _, _ = _without(text.encode("utf-8", "surrogatepass"), spans, batch.column("_tie")[i].as_py())
                     text = left.decode("utf-8", "ignore")
