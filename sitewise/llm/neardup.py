@@ -11,8 +11,9 @@ Equal sets form a class with one representative, so exact copies cost one row ea
 bucket are never paired with each other. First each class is compared with the smallest class that it
 meets in any bucket, and links join components. Then, only for buckets that still hold more than one
 component, leaders (from the smallest components first) are compared with all members outside their
-component and leave the bucket; four times as many each round. When no bucket is left, every pair of
-a bucket is either in one component or has been compared. Links are confirmed on the full sets.
+component and leave the bucket; sixteen times as many each round. A pair is compared only in the first
+band that it shares. When no bucket is left, every pair of a bucket is either in one component or has
+been compared. Links are confirmed on the full sets.
 
 Edge cases: a null or empty text has no shingle and is linked with nothing; fewer than four words are
 one shingle; rows with equal ids are one document; rows with a null id take the component of equal
@@ -40,6 +41,8 @@ ROWS, BANDS = 6, 48
 COORDINATES = ROWS * BANDS
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Leaders that a bucket compares in the first exact round.
+FIRST_LEADERS = 64
 #: Hashes of one vectorised block of rounds.
 BLOCK = 4096
 
@@ -178,7 +181,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = classes.where("cls is not null").join(
         rows.select("digest", F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "bands"), ["digest", "cls"]
     )
-    entries = heads.select("cls", "n", F.explode("bands").alias("key"))
+    entries = heads.select("cls", "n", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.min("cls").alias("_l"), F.max("cls").alias("_h")).where("_l <> _h").select("key")
     buckets = write_and_read(entries.join(shared, "key").distinct(), "buckets")
 
@@ -192,7 +195,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = met.groupBy(F.col("cls").alias("b")).agg(F.min("_lead.cls").alias("a"))
     labels = _relabel(labels, write_and_read(confirmed(pairs, sets), "links"))
 
-    leaders = 1
+    # Short band marks, by which a pair is compared only in the first band that it shares.
+    marks = heads.join(labels.select("cls"), "cls", "left_semi")
+    marks = write_and_read(marks.groupBy("cls").agg(F.first(F.transform("bands", lambda k: F.hash(k))).alias("marks")), "marks")
+    leaders = FIRST_LEADERS
     while True:
         placed = buckets.join(labels, "cls")
         open_keys = placed.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h"))
@@ -206,12 +212,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             chosen.select("key", F.col("_lead.cls").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("comp").alias("lead_comp")),
             "leaders",
         )
-        met = placed.join(chosen, "key").where((F.col("comp") != F.col("lead_comp")) & _similar_size("n", "lead_n"))
+        led = chosen.join(marks.select(F.col("cls").alias("lead"), F.col("marks").alias("lead_marks")), "lead")
+        earlier = F.arrays_zip(F.slice("marks", F.lit(1), F.col("band")), F.slice("lead_marks", F.lit(1), F.col("band")))
+        met = placed.join(marks, "cls").join(
+            led.withColumnRenamed("key", "lead_key"),
+            (F.col("key") == F.col("lead_key"))
+            & (F.col("comp") != F.col("lead_comp"))
+            & _similar_size("n", "lead_n")
+            & ~F.exists(earlier, lambda x: x["0"] == x["1"]),
+        )
         pairs = met.select(*_ordered("cls", "lead")).distinct()
-        labels = _relabel(labels, write_and_read(confirmed(pairs, sets), "links"))
+        links = write_and_read(confirmed(pairs, sets), "links")
         spent = chosen.select("key", F.col("lead").alias("cls"))
-        buckets = write_and_read(placed.select("key", "cls", "n").join(spent, ["key", "cls"], "left_anti"), "buckets")
-        leaders *= 4
+        buckets = write_and_read(placed.select("key", "band", "cls", "n").join(spent, ["key", "cls"], "left_anti"), "buckets")
+        if not links.isEmpty():
+            labels = _relabel(labels, links)
+        leaders *= 16
 
     slim = rows.select("doc_id", "n_shingles", "digest")
     found = null_safe_join(slim, classes, ["digest"], "left").join(labels, "cls", "left")
