@@ -37,8 +37,8 @@ def gene_chr_order(chr_: str | Column) -> Column:
 
 
 def chr_sort_key(chr_: str | Column) -> Column:
-    """1..22, then X, then Y, then everything else by name (see `chr_sort_columns`)."""
-    tail = F.substring(col(chr_), 4, 20)
+    """1..22, then X, then Y, then everything else; sort by the name as well to order the rest."""
+    tail = F.substring(col(chr_), F.lit(4), F.length(col(chr_)))
     return (
         F.when(tail.rlike("^[0-9]+$"), tail.try_cast("int"))
         .when(F.lower(tail) == "x", F.lit(1_000_001))

@@ -53,7 +53,9 @@ def kmers(seq: str | Column, k: int) -> Column:
 
 
 def kmer_ids(seq: str | Column, k: int) -> Column:
-    """Overlapping words as numbers in base 5, the built-in token ids."""
+    """Overlapping words as numbers in base 5, the built-in token ids; words of up to 13 bases fit an int."""
+    if k > 13:
+        raise ValueError("words of more than 13 bases need larger ids")
     codes = F.create_map(*[F.lit(x) for kv in BASE_CODES.items() for x in kv])
     return F.transform(
         kmers(seq, k),

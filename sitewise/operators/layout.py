@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame
 
 
 def spread_rows(df: DataFrame, *by: str) -> DataFrame:
-    """Hash-partition rows when the input has fewer partitions than the cluster has cores.
-
-    Meant for few and large rows, such as contigs out of one compressed file: without it one task
-    would cut all of them. An input that is already spread stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+    """Hash-partition few and large rows, such as contigs out of one compressed file, which one task
+    would otherwise cut alone."""
+    return df.repartition(*by)

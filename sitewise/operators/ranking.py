@@ -55,17 +55,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str
         )
     )
     placed = staged.join(offsets, "_part").withColumn(name, F.col("_offset") + F.col("_row"))
-    placed = placed.drop("_part", "_row", "_offset")
+    placed = placed.drop("_row", "_offset")
     if not keys:
-        return placed
-    first = (
+        return placed.drop("_part")
+    # One row per key and part; joining on both keeps a key with many rows split as the parts split it.
+    starts = (
         staged.groupBy(*keys, "_part")
         .agg(F.min("_row").alias("_row"))
         .join(offsets, "_part")
-        .groupBy(*keys)
-        .agg(F.min(F.col("_offset") + F.col("_row")).alias("_first"))
+        .select(*keys, "_part", F.min(F.col("_offset") + F.col("_row")).over(Window.partitionBy(*keys)).alias("_first"))
     )
-    return join_back(placed, first, keys).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+    placed = join_back(placed, starts, [*keys, "_part"])
+    return placed.withColumn(name, F.col(name) - F.col("_first")).drop("_first", "_part")
 
 
 def hash_text(ids: list[str], seed: int) -> Column:
@@ -73,6 +74,10 @@ def hash_text(ids: list[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))
 
 
+#: Rows that one hash bucket should hold.
+BUCKET_ROWS = 100_000
+
+
 def hash_ranked(
     df: DataFrame,
     keys: list[str],
@@ -80,14 +85,19 @@ def hash_ranked(
     seed: int,
     name: str = "rank",
     total: str | None = None,
-    digits: int = 3,
+    below: int | None = None,
 ) -> DataFrame:
     """0-based position inside the key in hash order; `ids` must identify a row inside its key.
 
-    A key is cut into ``16 ** digits`` even buckets by the leading hash digits. The position is
-    the size of the earlier buckets plus the position inside the own bucket, so no task sees
-    more than one bucket of a key.
+    A key is cut into even buckets by the leading hash digits, as many as the number of rows asks
+    for. The position is the size of the earlier buckets plus the position inside the own bucket, so
+    no task sees more than one bucket of a key. With `below` only rows at smaller positions are
+    returned, and buckets that start beyond it are left out before they are sorted.
     """
+    digits = 1
+    rows = df.count()
+    while 16**digits * BUCKET_ROWS < rows:
+        digits += 1
     hashed = df.withColumn("_hash", hash_text(ids, seed)).withColumn("_bucket", F.substring("_hash", 1, digits))
     per_key = Window.partitionBy(*keys)
     buckets = (
@@ -102,42 +112,28 @@ def hash_ranked(
         .withColumn("_total", F.sum("_n").over(per_key))
         .drop("_n")
     )
+    if below is not None:
+        buckets = buckets.where(F.col("_before") < below)
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_hash", *ids)
-    out = join_back(hashed.withColumn("_inside", F.row_number().over(inside) - 1), buckets, [*keys, "_bucket"])
+    out = join_back(hashed, buckets, [*keys, "_bucket"]).withColumn("_inside", F.row_number().over(inside) - 1)
     out = out.withColumn(name, F.col("_before") + F.col("_inside"))
+    if below is not None:
+        out = out.where(F.col(name) < below)
     if total:
         out = out.withColumn(total, F.col("_total"))
     return out.drop("_hash", "_bucket", "_before", "_total", "_inside")
 
 
-BUILT_IN_LIMIT = 1_000_000  # rows a single percentile buffer may hold
-
-
 def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: list[float],
-    tie: list[str] | None = None,
-    built_in_limit: int = BUILT_IN_LIMIT,
+    df: DataFrame, keys: list[str], value: str, probs: list[float], tie: list[str] | None = None
 ) -> DataFrame:
     """Rows (keys, n, q_no, q, quantile) with linear interpolation, nulls left out.
 
-    The built-in percentile keeps the distinct values of a group in one buffer, so it is used only
-    when the counted rows of all groups together stay below `built_in_limit`. Beyond that the
-    values are placed by `ranked` and only the rows at the wanted positions are read. `tie` names
-    columns that tell equal values apart, so that a value shared by many rows is split as well.
+    The values are placed by `ranked` and the rows at the wanted positions are read, at any size.
+    `tie` names columns that tell equal values apart, so that a value shared by many rows is split
+    as well.
     """
-    rows = write_and_read(df.where(F.col(value).isNotNull()).select(*keys, value, *(tie or [])), "values")
-    if rows.count() <= built_in_limit:
-        marks = F.array(*[F.lit(float(q)) for q in probs])
-        return (
-            rows.groupBy(*keys)
-            .agg(F.count("*").alias("n"), F.percentile(value, marks).alias("_q"))
-            .where("n > 0")
-            .select(*keys, "n", F.posexplode("_q").alias("q_no", "quantile"))
-            .select(*keys, "n", "q_no", F.element_at(marks, F.col("q_no") + 1).alias("q"), "quantile")
-        )
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value, *(tie or []))
     return _quantiles_by_position(ranked(rows, keys, [value, *(tie or [])], "_pos"), keys, value, probs)
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.functions.numeric import close_to
+from sitewise.functions.numeric import close_to, nan_to_null
 from sitewise.operators.ranking import ranked
 from sitewise.schemas import SOURCE_COMBINATIONS
 
@@ -108,23 +108,32 @@ def suffix_repeats(df: DataFrame, name: str, order: list[str], suffix: str = "_s
     ).drop("_place")
 
 
-def merge_matrices(tagged: DataFrame, row: str, sample: str, value: str, source: str = "group_idx") -> DataFrame:
+def merge_matrices(
+    tagged: DataFrame, row: str, sample: str, value: str, sources: int, source: str = "group_idx"
+) -> DataFrame:
     """One value per (row, sample), first source wins; `agrees` tells whether all sources are close.
 
-    The first value of a cell is found by an aggregate and joined back, so a cell present in
-    many sources is never gathered.
+    The number of sources is known, so one aggregate keeps the smallest and largest value of each
+    source in a cell; nothing is joined back. A source that repeats a cell gives its smallest value.
     """
-    first = dedupe(tagged.select(row, sample, value, source), [row, sample], [source])
-    checks = (
-        tagged.join(first.select(row, sample, F.col(value).alias("_first")), [row, sample])
-        .groupBy(row, sample)
-        .agg(
-            F.count("*").alias("num_sources"),
-            F.bool_and(close_to("_first", value)).alias("agrees"),
-        )
-        .withColumn("agrees", (F.col("num_sources") == 1) | F.col("agrees"))
+    cell = nan_to_null(F.col(value))
+    of = [F.when(F.col(source) == i, cell) for i in range(sources)]
+    merged = tagged.groupBy(row, sample).agg(
+        F.min(source).alias(source),
+        F.count("*").alias("num_sources"),
+        F.count(cell).alias("_known"),
+        *[F.min(v).alias(f"_low{i}") for i, v in enumerate(of)],
+        *[F.max(v).alias(f"_high{i}") for i, v in enumerate(of)],
+    )
+    first = F.coalesce(*[F.when(F.col(source) == i, F.col(f"_low{i}")) for i in range(sources)])
+    merged = merged.withColumn("_first", first)
+    near = F.col("_known") == F.col("num_sources")
+    for i in range(sources):
+        both = close_to("_first", f"_low{i}") & close_to("_first", f"_high{i}")
+        near = near & (F.col(f"_low{i}").isNull() | both)
+    return merged.select(
+        row, sample, F.col("_first").alias(value), source, "num_sources", ((F.col("num_sources") == 1) | near).alias("agrees")
     )
-    return first.join(checks, [row, sample])
 
 
 def frame_differences(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

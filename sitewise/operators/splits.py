@@ -62,8 +62,8 @@ def four_way(pairs: DataFrame, sites: DataFrame, samples: DataFrame) -> DataFram
 
 
 def random_subset(df: DataFrame, n: int, ids: list[str], seed: int) -> DataFrame:
-    """n rows without replacement, at any n: a filter on the hash rank, no single-task sort."""
-    return hash_ranked(df, [], ids, seed, "_rank").where(F.col("_rank") < n).drop("_rank")
+    """n rows without replacement, at any n: the first in hash order; only buckets below n are sorted."""
+    return hash_ranked(df, [], ids, seed, "_rank", below=n).drop("_rank")
 
 
 def shuffle_positions(df: DataFrame, ids: list[str], seed: int, name: str = "place") -> DataFrame:

@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def sql(needs: str, body: str, **extra: str) -> str:
-    """`body` behind the named input views, what they need, and the extra views in order."""
+    """`body` behind the named input views, what they need, and the extra views in order, each made once."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -40,7 +40,7 @@ def sql(needs: str, body: str, **extra: str) -> str:
     for n in needs.split():
         visit(n)
     views = {n: CTE[n] for n in order} | extra
-    head = ",\n".join(f"{n} as (\n{text.strip()}\n)" for n, text in views.items())
+    head = ",\n".join(f"{n} as materialized (\n{text.strip()}\n)" for n, text in views.items())
     return f"with {head}\n{body.strip()}" if views else body.strip()
 
 

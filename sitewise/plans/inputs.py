@@ -318,7 +318,7 @@ def cohort(spark: SparkSession, d: str, flag: str) -> DataFrame:
     )
 
 
-for _flag in ("A", "R"):
+for _flag in ("A", "N", "R"):
     CTE[f"cohort_{_flag.lower()}"] = f"""
 select l_partkey as cpg_idx, l_suppkey as sample_idx,
        {_MEAN_SQL.format(x="case when l_quantity > 2 then cast(round(l_discount * 100) as bigint) end")} as methylation

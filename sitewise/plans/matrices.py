@@ -191,25 +191,19 @@ def _placed_expression(spark, d):
     "attach_vector",
     sql(
         "me_long ge_long",
-        f"""select m.cpg_idx, m.sample_idx, v.block, v.num_genes, v.first_value, {rs('v.total')} as total
-            from me_long m join vec v using (sample_idx)""",
+        """select m.cpg_idx, m.sample_idx, array_to_string(v.vector, ',') as vector
+           from me_long m left join vec v using (sample_idx)""",
         places=_GENE_PLACES,
-        vec="""select sample_idx, cast(floor(place / 512) as bigint) as block, cast(count(*) as int) as num_genes,
-                      arg_min(expr, place) as first_value, sum(expr) as total from ge_long join places using (gene_idx) group by 1, 2""",
+        vec="""select sample_idx, list(cast(round(expr * 10000000.0) as bigint) order by place) as vector
+               from ge_long join places using (gene_idx) group by 1""",
     ),
 )
 def attach_vector(spark, d):
-    """Expression vectors in blocks of 512 genes, joined to the pairs of their sample."""
-    vectors = reshape.sample_vectors(_placed_expression(spark, d), "sample_idx", "place", "expr", block=512)
-    summed = vectors.select(
-        "sample_idx",
-        "block",
-        F.size("vector").alias("num_genes"),
-        F.col("vector")[0].alias("first_value"),
-        F.aggregate("vector", F.lit(0.0), lambda a, v: a + v).alias("total"),
-    )
-    out = reshape.attach_vectors(me_long(spark, d).select("cpg_idx", "sample_idx"), summed)
-    return out.withColumn("total", r6("total"))
+    """The expression vector of the sample of every pair, as text; null where a sample has none."""
+    vectors = reshape.sample_vectors(_placed_expression(spark, d), "sample_idx", "place", "expr")
+    shown = F.array_join(F.transform("vector", lambda x: F.round(x * 10000000.0).cast("bigint").cast("string")), ",")
+    out = reshape.attach_vectors(me_long(spark, d).select("cpg_idx", "sample_idx"), vectors.select("sample_idx", shown.alias("vector")))
+    return out.select("cpg_idx", "sample_idx", "vector")
 
 
 @query(

@@ -58,9 +58,8 @@ def union_samples(spark, d):
     "key_pool",
     sql(
         "locus",
-        """select cpg_idx, chr_pos from locus where chr_pos in (select chr_pos from locus where size <= 30)
-           and chr_pos not in (select chr_pos from locus where size between 10 and 12)
-           and chr_pos not in (select chr_pos from locus where size = 20)""",
+        """select cpg_idx, chr_pos from locus semi join (select chr_pos from locus where size <= 30) using (chr_pos)
+           anti join (select chr_pos from locus where size between 10 and 12 or size = 20) using (chr_pos)""",
     ),
 )
 def key_pool(spark, d):
@@ -352,19 +351,19 @@ def diff_rows(spark, d):
 @query(
     "merge_matrices",
     sql(
-        "cohort_a cohort_r",
+        "cohort_a cohort_n cohort_r",
         f"""select cpg_idx, sample_idx, {rs('first_value')} as methylation, group_idx, num_sources, num_sources = 1 or agrees as agrees
             from (select cpg_idx, sample_idx, arg_min(struct_pack(v := methylation), group_idx).v as first_value, min(group_idx) as group_idx,
                          count(*) as num_sources,
-                         coalesce(max(abs(methylation - f)) <= 1e-8 + 1e-5 * min(abs(f)) and count(methylation) = 2, false) as agrees
+                         coalesce(max(abs(methylation - f)) <= 1e-8 + 1e-5 * min(abs(f)) and count(methylation) = count(*), false) as agrees
                   from (select *, first_value(methylation) over (partition by cpg_idx, sample_idx order by group_idx) as f from both_sources)
                   group by 1, 2)""",
-        both_sources="""select 0 as group_idx, * from cohort_a union all select 1, * from cohort_r""",
+        both_sources="""select 0 as group_idx, * from cohort_a union all select 1, * from cohort_n union all select 2, * from cohort_r""",
     ),
 )
 def merge_matrices(spark, d):
-    tagged = sets.tag_sources([cohort(spark, d, "A"), cohort(spark, d, "R")])
-    out = sets.merge_matrices(tagged, "cpg_idx", "sample_idx", "methylation")
+    tagged = sets.tag_sources([cohort(spark, d, flag) for flag in "ANR"])
+    out = sets.merge_matrices(tagged, "cpg_idx", "sample_idx", "methylation", 3)
     return out.select("cpg_idx", "sample_idx", r6("methylation").alias("methylation"), "group_idx", "num_sources", "agrees")
 
 

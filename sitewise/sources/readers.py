@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,21 +33,36 @@ def read_matrix_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame
     return wide.select(names[0], *[nan_to_null(F.col(f"`{n}`")).alias(n) for n in names[1:]])
 
 
+def csv_fields(line: str | Column, sep: str = ",") -> Column:
+    """The cells of a CSV line; quoted cells lose their quotes and may hold separators."""
+    cell = f'[{sep}]("(?:[^"]|"")*"|[^{sep}]*)'
+    cells = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(cell), F.lit(1))
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(cells, lambda c: F.when(c.startswith('"') & (F.length(c) > 1), inner(c)).otherwise(c))
+
+
 def read_matrix_long(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """The same matrix as (key, sample, value) rows without a wide frame in between.
 
-    Lines are split once; the plan has the same size for ten columns and for ten thousand.
+    Lines are cut once; the plan has the same size for ten columns and for ten thousand. The first
+    line of each file names the columns of that file.
     """
-    lines = spark.read.text(path)
-    header = lines.first()["value"]
-    names = F.array(*[F.lit(n) for n in header_names(spark, path, sep)[1:]])
-    fields = F.split(F.col("value"), f"[{sep}]")
-    cells = lines.where(F.col("value") != header).select(
-        fields[0].alias("key"), F.posexplode(F.slice(fields, 2, F.size(fields) - 1)).alias("_i", "_v")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from")
+    )
+    heads = lines.where("_from = 0").withColumn("_i", F.monotonically_increasing_id())
+    heads = heads.groupBy("_file").agg(F.min_by("value", "_i").alias("_head"))
+    names = F.transform(
+        csv_fields("_head", sep), lambda n, i: F.when(n == "", F.concat(F.lit("column_"), i.cast("string"))).otherwise(n)
+    )
+    rows = lines.join(heads.withColumn("_names", names), "_file").where(F.col("value") != F.col("_head"))
+    rows = rows.withColumn("_fields", csv_fields("value", sep))
+    cells = rows.select(
+        F.col("_fields")[0].alias("key"), "_names", F.posexplode(F.slice("_fields", 2, F.size("_fields") - 1)).alias("_i", "_v")
     )
     return cells.select(
         "key",
-        F.element_at(names, F.col("_i") + 1).alias("sample"),
+        F.try_element_at("_names", F.col("_i") + 2).alias("sample"),
         nan_to_null(F.trim("_v").try_cast("double")).alias("value"),
     )
 

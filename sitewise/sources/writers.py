@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitewise.operators.reshape import assign_shards
+
 MODES = {"overwrite": "overwrite", "skip": "ignore", "fail": "errorifexists"}
 
 
@@ -14,6 +16,15 @@ def write_shards(df: DataFrame, path: str, rows_per_file: int, mode: str = "fail
     out.write.mode(MODES[mode]).option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
+def write_equal_shards(df: DataFrame, path: str, order: list[str], rows_per_file: int, mode: str = "fail"):
+    """Files of exactly `rows_per_file` rows in the given order, the last with the rest.
+
+    Rows get the number of their shard, and a shard is written by one task as `shard=<number>`.
+    """
+    placed = assign_shards(df, order, rows_per_file).repartition("shard")
+    placed.write.mode(MODES[mode]).partitionBy("shard").parquet(path)
+
+
 def write_split_dataset(df: DataFrame, path: str, by: list[str], rows_per_file: int = 1_000_000, mode: str = "fail"):
     """All splits in one job, one directory per value of `by`.
 

@@ -42,13 +42,12 @@ def test_hash_ranked_is_a_permutation_and_repeats(spark):
     assert (a.merge(c, on=["k", "id"]).eval("r_x != r_y")).any()
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_exact_quantiles_equal_pandas(spark, limit):
+def test_exact_quantiles_equal_pandas(spark):
     pdf = skewed()
     pdf.loc[::17, "v"] = np.nan
     probs = [0.0, 0.1, 0.5, 0.77, 1.0]
     df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
-    got = ranking.exact_quantiles(df, ["k"], "v", probs, ["id"], limit).toPandas().set_index(["k", "q"])["quantile"].sort_index()
+    got = ranking.exact_quantiles(df, ["k"], "v", probs, ["id"]).toPandas().set_index(["k", "q"])["quantile"].sort_index()
     want = pdf.groupby("k")["v"].quantile(probs).sort_index()
     assert np.allclose(got.to_numpy(), want.to_numpy())
 
@@ -112,7 +111,7 @@ def test_dedupe_and_drop_repeated(spark):
 def test_merge_matrices(spark):
     a = spark.createDataFrame([("g1", "s1", 1.0), ("g2", "s1", 2.0), ("g3", "s1", None)], "g string, s string, v double")
     b = spark.createDataFrame([("g1", "s1", 1.0000001), ("g2", "s1", 2.5), ("g3", "s1", None), ("g1", "s2", 7.0)], "g string, s string, v double")
-    got = {(r.g, r.s): (r.v, r.agrees) for r in sets.merge_matrices(sets.tag_sources([a, b]), "g", "s", "v").collect()}
+    got = {(r.g, r.s): (r.v, r.agrees) for r in sets.merge_matrices(sets.tag_sources([a, b]), "g", "s", "v", 2).collect()}
     assert got == {("g1", "s1"): (1.0, True), ("g2", "s1"): (2.0, False), ("g3", "s1"): (None, False), ("g1", "s2"): (7.0, True)}
 
 
@@ -166,10 +165,22 @@ def test_ragged_rows(spark):
         reshape.ragged_rows(spark.createDataFrame([("a,b,c",)], "value string")).collect()
 
 
-def test_vectors_come_in_blocks(spark):
+def test_one_vector_per_sample(spark):
     df = spark.createDataFrame([(s, p, float(p)) for s in (1, 2) for p in range(10)], "s int, p bigint, v double")
-    got = {(r.s, r.block): r.vector for r in reshape.sample_vectors(df, "s", "p", "v", block=4).collect()}
-    assert got[1, 0] == [0.0, 1.0, 2.0, 3.0] and got[2, 2] == [8.0, 9.0] and len(got) == 6
+    vectors = reshape.sample_vectors(df, "s", "p", "v")
+    assert {r.s: r.vector for r in vectors.collect()} == {1: [float(p) for p in range(10)], 2: [float(p) for p in range(10)]}
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "site int, s int")
+    assert reshape.attach_vectors(pairs, vectors, "s").count() == 3
+    assert [r.s for r in reshape.without_vector(pairs, vectors, "s").collect()] == [3]
+
+
+def test_subset_prunes_and_hot_key_ranks(spark):
+    df = spark.range(5000).withColumn("k", F.when(F.col("id") % 10 < 9, "hot").otherwise(F.col("id").cast("string")))
+    small = splits.random_subset(df, 40, ["id"], 3)
+    ranks = ranking.hash_ranked(df, [], ["id"], 3, "r")
+    assert {r.id for r in small.collect()} == {r.id for r in ranks.where("r < 40").collect()}
+    got = ranking.ranked(df, ["k"], ["id"], "r").where("k = 'hot'").orderBy("id").toPandas()
+    assert got["r"].tolist() == list(range(4500))
 
 
 def test_moving_rate_over_block_borders(spark):

@@ -30,6 +30,26 @@ def test_matrix_long_equals_wide(spark, matrix):
     }
 
 
+def test_quoted_matrix_and_headers_per_file(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"","s,1","s""2"\n"chr1_5",0.5,"0.25"\n"chr1,6",,1\n')
+    q = str(tmp_path / "q.csv")
+    long = {(r.key, r["sample"], r.value) for r in readers.read_matrix_long(spark, q).collect()}
+    assert long == {("chr1_5", "s,1", 0.5), ("chr1_5", 's"2', 0.25), ("chr1,6", "s,1", None), ("chr1,6", 's"2', 1.0)}
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "a.csv").write_text("key,x,y\nk1,1,2\n")
+    (folder / "b.csv").write_text("key,y,z\nk2,3,4\n")
+    got = {(r.key, r["sample"], r.value) for r in readers.read_matrix_long(spark, str(folder)).collect()}
+    assert got == {("k1", "x", 1.0), ("k1", "y", 2.0), ("k2", "y", 3.0), ("k2", "z", 4.0)}
+
+
+def test_equal_shards(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    writers.write_equal_shards(spark.range(1005), path, ["id"], 100)
+    files = spark.read.parquet(path).withColumn("f", F.input_file_name()).groupBy("f", "shard").count().collect()
+    assert sorted(r["count"] for r in files) == [5] + [100] * 10 and len({r["shard"] for r in files}) == 11
+
+
 def test_tab_separated_matrix(spark, tmp_path):
     (tmp_path / "ge.tsv").write_text("gene\ts1\ts2\nA;ENSG1\t1\t2.5\n")
     assert [tuple(r) for r in readers.read_matrix_csv(spark, str(tmp_path / "ge.tsv"), "\t").collect()] == [("A;ENSG1", 1.0, 2.5)]
