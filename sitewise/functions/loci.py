@@ -26,10 +26,14 @@ def locus_key(chr_: str | Column, pos: str | Column) -> Column:
     return F.concat_ws("_", col(chr_), col(pos).cast("string"))
 
 
-def chr_index(chr_: str | Column) -> Column:
-    """0-based chromosome number, null for a contig outside the known list."""
+def chr_index(chr_: str | Column, strict: bool = False) -> Column:
+    """0-based chromosome number; a contig outside the known list gives null, or fails if `strict`."""
     table = _literal_map({name: i for i, name in enumerate(CHROMOSOMES)})
-    return F.try_element_at(table, F.lower(col(chr_)))
+    number = F.try_element_at(table, F.lower(col(chr_)))
+    if not strict:
+        return number
+    unknown = F.raise_error(F.concat(F.lit("unknown chromosome: "), F.coalesce(col(chr_), F.lit("null"))))
+    return F.when(number.isNull(), unknown).otherwise(number)
 
 
 def gene_chr_order(chr_: str | Column) -> Column:

@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.loci import chr_index, in_chromosomes
 from sitewise.functions.sequence import center_crop, has_unknown_base
+from sitewise.operators.audits import key_differences
 
 
-def assemble_sites(sites: DataFrame, windows: DataFrame, islands: DataFrame, key: str = "cpg_idx") -> DataFrame:
-    """One row per site with its window and island labels; all three tables share the key."""
-    return sites.join(windows.select(key, "sequence"), key).join(
-        islands.select(key, "cpg_island_tuple", "num_cpg_island_tuple"), key
-    )
+def assemble_sites(windows: DataFrame, islands: DataFrame, key: str = "cpg_idx") -> DataFrame:
+    """One row per site: the site and its window, with its island labels.
+
+    Both tables must hold the same keys; `unassembled` lists those that only one has.
+    """
+    return windows.join(islands.select(key, "cpg_island_tuple", "num_cpg_island_tuple"), key)
+
+
+def unassembled(windows: DataFrame, islands: DataFrame, key: str = "cpg_idx") -> DataFrame:
+    """Keys of one side only; pass them to `audits.enforce` to refuse an incomplete assembly."""
+    return key_differences(windows, islands, key)
 
 
 def usable_sites(
@@ -21,6 +28,7 @@ def usable_sites(
 ) -> DataFrame:
     """Sites of the listed chromosomes whose window has no N, with `chr_idx`.
 
+    A contig outside the known list fails the job; name the chromosomes to leave others out.
     With `crop` the test and the output use the centre of the window only. `encode` turns the
     kept sequence into an array; it runs once per site, before the pairs multiply the rows.
     """
@@ -29,7 +37,7 @@ def usable_sites(
     kept = (
         rows.withColumn("_seq", seq)
         .where(~has_unknown_base("_seq"))
-        .withColumn("chr_idx", chr_index("chr"))
+        .withColumn("chr_idx", chr_index("chr", strict=True))
     )
     if encode is not None:
         return kept.withColumn("tokenized_sequence", encode(F.col("_seq"))).drop("sequence", "_seq")

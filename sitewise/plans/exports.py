@@ -8,7 +8,7 @@ from sitewise.functions.sequence import kmer_ids
 from sitewise.operators import export, ids, inference
 from sitewise.plans.annotations import island_tuples
 from sitewise.plans.book import query, r6, rs, sql
-from sitewise.plans.inputs import WINDOW, locus, me_long, samples, table
+from sitewise.plans.inputs import WINDOW, islands, locus, me_long, samples, table
 from sitewise.plans.sequences import site_windows
 from sitewise.plans.splits import SPLIT_SQL, sample_split, site_split
 from sitewise.operators.splits import four_way
@@ -16,8 +16,8 @@ from sitewise.schemas import SPLIT_NAMES
 
 
 def _assembled(spark, d):
-    sites = locus(spark, d).select("cpg_idx", "chr", "pos", "chr_pos")
-    return export.assemble_sites(sites, site_windows(spark, d), island_tuples(spark, d))
+    windows = site_windows(spark, d).select("cpg_idx", "chr", "pos", "chr_pos", "sequence")
+    return export.assemble_sites(windows, island_tuples(spark, d))
 
 
 @query(
@@ -31,6 +31,19 @@ def assemble_site(spark, d):
     return _assembled(spark, d).drop("chr", "pos")
 
 
+@query(
+    "assembly_gaps",
+    sql(
+        "locus islands",
+        """select cpg_idx, 'left' as side from locus
+           anti join (select cpg_idx from islands where location <> 'sea') using (cpg_idx)""",
+    ),
+)
+def assembly_gaps(spark, d):
+    """Sites that an assembly with the labels outside the sea only would have to refuse."""
+    return export.unassembled(locus(spark, d), islands(spark, d).where("location <> 'sea'"))
+
+
 def _sample_ids(spark, d):
     """Samples with tissue numbers in order of first appearance."""
     rows = samples(spark, d).select("sample_idx", "sample_name", "tissue_name")

@@ -139,10 +139,11 @@ def known_chromosome(spark, d):
 
 @query(
     "contig_check",
-    sql("genes genome", "select distinct chr from genes where chr not in (select chr from genome)"),
+    sql("genes genome", "select distinct chr from genes anti join (select chr from genome where seq_len >= 2000) using (chr)"),
 )
 def contig_check(spark, d):
-    return sets.not_subset(genes(spark, d), contig_lengths(spark, d), "chr")
+    """Contigs of genes that the contigs of at least 2,000 bases lack."""
+    return sets.not_subset(genes(spark, d), contig_lengths(spark, d).where("seq_len >= 2000"), "chr")
 
 
 @query(
