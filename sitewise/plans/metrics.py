@@ -187,6 +187,30 @@ def metrics_wide(spark, d):
     return M.metrics_wide(long, "group_idx", ["mse", "mae", "n"])
 
 
+_METRIC_SPLITS = [(m, g) for m in ("mse", "mae") for g in (0, 1, 2)]
+
+
+@query(
+    "metrics_by_split",
+    sql(
+        "eval_full",
+        "select sample_idx, "
+        + ", ".join(f"max(case when group_idx = {g} then {m} end) as {m}_{g}" for m, g in _METRIC_SPLITS)
+        + " from losses group by 1",
+        losses="""select sample_idx, group_idx, round(avg((pred_methyl - gt_methyl) * (pred_methyl - gt_methyl)) + 1e-9, 6) + 0.0 as mse,
+                         round(avg(abs(pred_methyl - gt_methyl)) + 1e-9, 6) + 0.0 as mae from eval_full group by 1, 2""",
+    ),
+)
+def metrics_by_split(spark, d):
+    """One row per sample and one column per metric and split."""
+    losses = M.loss_by(M.complete_rows(eval_long(spark, d)), ["sample_idx", "group_idx"])
+    each = F.array(*[F.struct(F.lit(m).alias("name"), r6(F.col(m)).alias("value")) for m in ("mse", "mae")])
+    long = losses.select("sample_idx", "group_idx", F.explode(each).alias("_m")).select(
+        "sample_idx", F.concat_ws("_", "_m.name", F.col("group_idx").cast("string")).alias("metric"), "_m.value"
+    )
+    return M.metrics_wide(long, "sample_idx", [f"{m}_{g}" for m, g in _METRIC_SPLITS])
+
+
 @query(
     "drop_null",
     sql("eval_full", "select cpg_idx, sample_idx, group_idx, pred_methyl, gt_methyl from eval_full"),
