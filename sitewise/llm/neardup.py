@@ -9,7 +9,8 @@ a pair at similarity 0.8 shares no bucket with probability (1 - 0.8 ** 6) ** 48,
 
 Equal sets form a class with one representative, so exact copies cost one row each. Members of a
 bucket are never paired with each other. First each class is compared with the smallest class that it
-meets in any bucket, and links join components. Then, only for buckets that still hold more than one
+meets in any bucket, and links join components. Classes that have too many shingles alone to be linked
+with any other leave the buckets. Then, only for buckets that still hold more than one
 component, leaders (from the smallest components first) are compared with all members outside their
 component and leave the bucket; sixteen times as many each round. A pair is compared only in the first
 band that it shares. When no bucket is left, every pair of a bucket is either in one component or has
@@ -168,6 +169,28 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return write_and_read(moved.select("cls", F.coalesce("root", "comp").alias("comp")), "labels")
 
 
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of buckets that hold more than one component, with `comp`."""
+    placed = buckets.join(labels, "cls")
+    several = placed.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h")
+    return placed.join(several.select("key"), "key")
+
+
+def _linkable(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Entries with `core`, the shingles that another class of the entries has as well.
+
+    What a class has alone it shares with nobody, so a class with less than PERCENT of its shingles in
+    its core can't be linked with any other and goes; copies with many edits of their own are spared
+    a comparison with every member of their bucket.
+    """
+    entries = write_and_read(entries.select("key", "band", "cls", "n"), "entries")
+    shingles = sets.join(entries.select("cls"), "cls", "left_semi").select("cls", F.explode("elements").alias("e"))
+    alone = shingles.groupBy("e").agg(F.count("*").alias("_n"), F.min("cls").alias("cls")).where("_n = 1")
+    alone = alone.groupBy("cls").agg(F.count("*").alias("_alone"))
+    entries = entries.join(alone, "cls", "left").withColumn("core", F.col("n") - F.coalesce("_alone", F.lit(0)))
+    return entries.where(100 * F.col("core") >= PERCENT * F.col("n")).drop("_alone")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set)."""
     rows = write_and_read(
@@ -195,36 +218,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = met.groupBy(F.col("cls").alias("b")).agg(F.min("_lead.cls").alias("a"))
     labels = _relabel(labels, write_and_read(confirmed(pairs, sets), "links"))
 
+    buckets = write_and_read(_linkable(_open(buckets, labels), sets), "buckets")
+
     # Short band marks, by which a pair is compared only in the first band that it shares.
-    marks = heads.join(labels.select("cls"), "cls", "left_semi")
-    marks = write_and_read(marks.groupBy("cls").agg(F.first(F.transform("bands", lambda k: F.hash(k))).alias("marks")), "marks")
+    marks = heads.join(buckets.select("cls").distinct(), "cls", "left_semi")
+    short = F.first(F.transform("bands", lambda k: F.hash(k)))  # an id with several sets has no marks
+    marks = write_and_read(marks.select("cls", "bands").distinct().groupBy("cls").agg(F.when(F.count("*") == 1, short).alias("marks")), "marks")
     leaders = FIRST_LEADERS
     while True:
-        placed = buckets.join(labels, "cls")
-        open_keys = placed.groupBy("key").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h"))
-        placed = write_and_read(placed.join(open_keys.where("_l <> _h").select("key"), "key"), "open")
+        placed = write_and_read(_open(buckets, labels), "open")
         if placed.isEmpty():
             break
-        groups = placed.groupBy("key", "comp").agg(F.count("*").alias("_size"), F.min(F.struct("cls", "n")).alias("_lead"))
-        order = Window.partitionBy("key").orderBy("_size", "_lead.cls")
-        chosen = groups.withColumn("_nth", F.row_number().over(order)).where(f"_nth <= {leaders}")
+        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("_size"))
+        order = Window.partitionBy("key").orderBy("_size", "comp", "cls")
+        chosen = placed.join(sizes, ["key", "comp"]).withColumn("_nth", F.row_number().over(order)).where(f"_nth <= {leaders}")
         chosen = write_and_read(
-            chosen.select("key", F.col("_lead.cls").alias("lead"), F.col("_lead.n").alias("lead_n"), F.col("comp").alias("lead_comp")),
+            chosen.select(
+                "key", F.col("cls").alias("lead"), F.col("n").alias("lead_n"), F.col("core").alias("lead_core"),
+                F.col("comp").alias("lead_comp"),
+            ),
             "leaders",
-        )
+        )
         led = chosen.join(marks.select(F.col("cls").alias("lead"), F.col("marks").alias("lead_marks")), "lead")
         earlier = F.arrays_zip(F.slice("marks", F.lit(1), F.col("band")), F.slice("lead_marks", F.lit(1), F.col("band")))
+        most = F.least("core", "lead_core")  # shingles that both can have
         met = placed.join(marks, "cls").join(
             led.withColumnRenamed("key", "lead_key"),
             (F.col("key") == F.col("lead_key"))
             & (F.col("comp") != F.col("lead_comp"))
-            & _similar_size("n", "lead_n")
-            & ~F.exists(earlier, lambda x: x["0"] == x["1"]),
+            & (100 * most >= PERCENT * (F.col("n") + F.col("lead_n") - most))
+            & ~F.coalesce(F.exists(earlier, lambda x: x["0"] == x["1"]), F.lit(False)),
         )
         pairs = met.select(*_ordered("cls", "lead")).distinct()
         links = write_and_read(confirmed(pairs, sets), "links")
         spent = chosen.select("key", F.col("lead").alias("cls"))
-        buckets = write_and_read(placed.select("key", "band", "cls", "n").join(spent, ["key", "cls"], "left_anti"), "buckets")
+        buckets = write_and_read(placed.select("key", "band", "cls", "n", "core").join(spent, ["key", "cls"], "left_anti"), "buckets")
         if not links.isEmpty():
             labels = _relabel(labels, links)
         leaders *= 16
