@@ -4,9 +4,9 @@ A byte goes if a 100-byte string that covers it also starts earlier in the corpu
 found in four steps, none of which holds a corpus, a group of copies or all candidates in one task.
 
 1. Every 100-byte window has an anchor, chosen by content; windows that share one form a run. Of equal
-   runs in a task only the first is sent on, the others are repeats for sure.
+   runs in a task only the first is sent on, those at other places are repeats for sure.
 2. Runs meet by anchor hash, sorted by content and place, and stream through the tasks: of equal runs
-   all but the first are repeats, an anchor with a single run is unique, and the first runs of the
+   all at a later place than the first are repeats, an anchor with a single run is unique, and the first runs of the
    other anchors are candidates.
 3. The stretches of the candidates meet by anchor. Each task builds run-length indexes over at most
    `INDEX_BYTES` of them, streams their matching statistics and marks the windows whose first 100
@@ -15,7 +15,7 @@ found in four steps, none of which holds a corpus, a group of copies or all cand
 4. Marked stretches of a document are merged and cut out of its text.
 
 Edge cases: a null text is empty; texts under 100 bytes stay whole; matches never cross documents;
-rows with equal id and text are one document and get equal results; of different texts with one id
+rows with equal id and text, also with a null id, are one document and get equal results; of different texts with one id
 the smaller text comes first; a null id comes first; an empty table gives an empty result; extra columns
 are kept by `drop_repeats`.
 """
@@ -83,11 +83,23 @@ def _marks(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatc
     return _batch([("mark", np.ones(len(doc), bool)), ("anchor", spread), ("run", end), ("doc", doc), ("at", start)])
 
 
-def _first_of(anchor: np.ndarray, run: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by anchor, run, document and place, and whether each row is the first of its run."""
+def _later(first: np.ndarray, doc: np.ndarray, at: np.ndarray, open_place: tuple | None = None) -> np.ndarray:
+    """Whether each row of sorted runs stands after the first of its run. Equal places (of equal rows)
+    are one place. `open_place` is that of a run which began before these rows."""
+    number = np.cumsum(first) - 1
+    heads = np.flatnonzero(first)
+    head_doc, head_at = doc[heads], at[heads]
+    if open_place:
+        head_doc, head_at = np.append(head_doc, open_place[0]), np.append(head_at, open_place[1])  # found as number -1
+    return (doc != head_doc[number]) | (at != head_at[number])
+
+
+def _first_of(anchor: np.ndarray, run: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by anchor, run, document and place, and whether each row is the first of its run or a later one."""
     order = np.lexsort((at, doc, run, anchor))
     a, r = anchor[order], run[order]
-    return order, np.concatenate([[True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])]) if len(a) else np.zeros(0, bool)
+    first = np.concatenate([[True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])]) if len(a) else np.zeros(0, bool)
+    return order, first, _later(first, doc[order], at[order])
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +113,8 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> Iterator[pa.RecordBatch]:
         anchor, run, doc, at = (np.concatenate(v) for v in zip(*held, strict=True))
         held.clear()
-        order, first = _first_of(anchor, run, doc, at)
-        keep, rest = order[first], order[~first]
+        order, first, later = _first_of(anchor, run, doc, at)
+        keep, rest = order[first], order[later]
         yield _batch([("mark", np.zeros(len(keep), bool)), ("anchor", anchor[keep]), ("run", run[keep]), ("doc", doc[keep]), ("at", at[keep])])
         if len(rest):
             start = at[rest] >> 8
@@ -130,7 +142,7 @@ def _stream_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A candidate is a first run of an anchor that has others. Until an anchor's second run is seen its
     first one waits.
     """
-    last: tuple | None = None  # (anchor, run, has several)
+    last: tuple | None = None  # (anchor, run, has several, place of the run's first)
     waiting: pa.RecordBatch | None = None
     for batch in batches:
         marked = batch.column(0).to_numpy(zero_copy_only=False)
@@ -147,7 +159,7 @@ def _stream_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new_anchor[0], new_run[0] = False, run[0] != last[1]
         if new_anchor[0]:
             waiting = None  # the anchor before had a single run
-        rest = ~new_run
+        rest = _later(new_run, doc, at, last[3] if last else None)
         if rest.any():
             start = at[rest] >> 8
             yield _marks(doc[rest], start, start + (at[rest] & 255) + LENGTH)
@@ -165,7 +177,9 @@ def _stream_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = group[-1]
         if not several[end] and (end > 0 or runs[0]):
             waiting = batch.slice(int(np.flatnonzero(new_run)[-1]), 1)
-        last = (anchor[-1], run[-1], bool(several[end]))
+        heads = np.flatnonzero(new_run)
+        place = (doc[heads[-1]], at[heads[-1]]) if len(heads) else last[3]
+        last = (anchor[-1], run[-1], bool(several[end]), place)
 
 
 def _id_map(ids: DataFrame) -> np.ndarray:

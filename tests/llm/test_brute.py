@@ -162,6 +162,32 @@ def test_repeats(spark):
     assert {r["doc_id"]: tuple(r[n] for n in names) for r in suffix.repeat_report(docs).collect()} == want
 
 
+def test_repeated_rows_are_one_document(spark):
+    alone, null, passage = cases.words(1, 60), cases.words(2, 60), cases.words(3, 30)
+    given = [(7, alone), (8, passage + cases.words(4, 20)), (9, cases.words(5, 20) + passage), (10, passage + cases.words(6, 20)), (11, alone + "!")]
+    want = brute_repeats([(-1, null), *given])
+    docs = cases.docs(spark, [(i, t, None, None, 0) for i, t in 2 * [(None, null), *given]])
+    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    for parts in (1, 5):
+        found = defaultdict(list)
+        for r in suffix.repeat_report(docs.repartition(parts)).collect():
+            found[-1 if r["doc_id"] is None else r["doc_id"]].append(tuple(r[n] for n in names))
+        assert found == {i: [w, w] for i, w in want.items()}
+        texts = [r["text"] for r in suffix.drop_repeats(docs.repartition(parts)).collect()]
+        assert texts.count(alone) == texts.count(null) == 2
+
+
+def test_later_runs_across_batches():
+    import pyarrow as pa
+
+    columns = {"mark": [False] * 6, "anchor": [1, 1, 1, 1, 1, 2], "run": [5, 5, 5, 5, 6, 5], "doc": [3, 3, 3, 4, 3, 9], "at": [256, 256, 256, 256, 768, 512]}
+    whole = pa.RecordBatch.from_pydict(columns)
+    for size in range(1, 7):
+        out = [r for b in suffix._stream_runs(whole.slice(i, size) for i in range(0, 6, size)) for r in b.to_pylist()]
+        assert [(r["doc"], r["at"]) for r in out if r["mark"]] == [(4, 1)]
+        assert sorted((r["doc"], r["at"]) for r in out if not r["mark"]) == [(3, 256), (3, 768)]
+
+
 def test_repeats_of_hot_anchors(spark, monkeypatch):
     data = repeating()
     want = brute_repeats(data)
