@@ -4,14 +4,16 @@ Two public vocabularies measure every whole text. A byte-level BPE gives charact
 the entropy of its tokens; a piece vocabulary with byte fallback gives the share of pieces that are
 bare bytes. A text is rejected when a measure falls outside the band of its language: the median of
 the corpus plus or minus a multiple of the quartile range, with a least width, so a band follows what
-is usual for the language. A language with few documents shares the band of its script, and a script
-with few has wide fixed bands.
+is usual for the language. Quartiles are shrunk towards reference ones of the language, or else of its
+script, as if `PRIOR` reference documents stood in the table; where a corpus differs from the reference
+the band is widened by the doubt between the two. One rule holds at every size, so a language is judged
+in a small table as well.
 
 Words are tokenised one by one with a leading space, as both vocabularies treat words inside running
 text, so the tokens of a word are looked up in a bounded store.
 
 Edge cases: a null or empty text has no words and fails the base rule; texts with few tokens are not
-judged by bands; a null language is its script; repeated rows are judged alike; an empty table gives
+judged by bands; a null or empty language is its script; repeated rows are judged alike; an empty table gives
 an empty result; extra columns pass through `judge`.
 """
 
@@ -44,16 +46,31 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Texts below so many tokens are too short for a stable measure.
 MIN_TOKENS = 64
-#: Documents a language needs for a band of its own.
-MIN_DOCUMENTS = 200
+#: Documents that a reference counts for.
+PRIOR = 50
 #: Band half-width: this multiple of the quartile range, and at least this share of the median.
 RANGES, LEAST = 4.0, 0.12
 #: Bits beyond which a longer text isn't expected to become more varied.
 FULL_ENTROPY = 6.5
 #: A share of bare bytes up to this is never rejected.
 BYTE_SHARE_FLOOR = 0.15
-#: (low, high) characters per token, highest byte share, lowest relative entropy.
-WIDE = {"chars_per_token": (1.0, 12.0), "byte_share": (-1.0, 0.6), "rel_entropy": (0.5, 2.0)}
+#: Lower quartile, median and upper quartile of characters per token, byte share and relative entropy:
+#: those of all documents of sf0.1 with `MIN_TOKENS`.
+LANGUAGE_REFERENCE = {
+    "de": ((2.270, 2.305, 2.333), (0.0, 0.0, 0.0), (0.959, 1.001, 1.027)),
+    "en": ((2.190, 2.224, 2.249), (0.0, 0.0, 0.0), (0.965, 1.017, 1.048)),
+    "es": ((2.021, 2.057, 2.081), (0.0, 0.0, 0.0), (0.938, 0.993, 1.020)),
+    "fr": ((2.000, 2.035, 2.060), (0.0, 0.0, 0.0), (0.949, 0.991, 1.018)),
+}
+#: Medians alone for other languages, by script: the first article of the Declaration of Human Rights in
+#: en, it, pt, nl, sv, pl, tr (median); ru, uk (mean); el; he; ar; hi; th; ja; zh; ko. "Other" is a guess.
+SCRIPT_REFERENCE = {
+    "Latin": (2.77, 0.0, 0.946), "Greek": (1.70, 0.0, 0.926), "Cyrillic": (2.44, 0.0, 0.920), "Hebrew": (1.49, 0.0, 0.910),
+    "Arabic": (1.49, 0.0, 0.898), "Devanagari": (0.795, 0.076, 0.735), "Thai": (1.02, 0.022, 0.825),
+    "Kana": (1.05, 0.098, 0.914), "Han": (0.896, 0.0, 0.963), "Hangul": (1.05, 0.033, 0.969), "Other": (1.50, 0.6, 0.8),
+}
+#: Quartiles of a script stand off its median by this share of it.
+SCRIPT_SPREAD, OTHER_SPREAD = 0.05, 0.1
 
 LONGS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_tokens"]
 DOUBLES = ["chars_per_token", "byte_share", "rel_entropy"]
@@ -214,20 +231,38 @@ def _quartiles(judged: DataFrame, group: str) -> DataFrame:
     return counts.groupBy("grp", "m").agg(F.max("_all").alias("docs"), *quarter)
 
 
-def bands(judged: DataFrame, group: str) -> DataFrame:
-    """One row per group: docs, and low and high of each measure."""
-    q = _quartiles(judged, group)
-    half = F.greatest((F.col("q2") - F.col("q0")) * RANGES, F.col("q1") * LEAST)
-    low, high = F.col("q1") - half, F.col("q1") + half
-    q = q.withColumn("low", F.when(F.col("m") == "byte_share", F.lit(-1.0)).otherwise(low))
-    q = q.withColumn(
-        "high",
-        F.when(F.col("m") == "byte_share", F.greatest(high, F.lit(BYTE_SHARE_FLOOR)))
-        .when(F.col("m") == "rel_entropy", F.lit(2.0))
-        .otherwise(high),
-    )
-    sides = [F.max(F.when(F.col("m") == m, F.col(s))).alias(f"{m}_{s}") for m in DOUBLES for s in ("low", "high")]
-    return q.groupBy(F.col("grp").alias(group)).agg(F.max("docs").alias("docs"), *sides).where(f"docs >= {MIN_DOCUMENTS}").drop("docs")
+def _reference(lang: Column, script: Column) -> Column:
+    """Array of the three reference quartiles of each measure; the language's, or else the script's."""
+    known = {lang: [x for q in rows for x in q] for lang, rows in LANGUAGE_REFERENCE.items()}
+    for name, medians in SCRIPT_REFERENCE.items():
+        off = OTHER_SPREAD if name == "Other" else SCRIPT_SPREAD
+        known[f"script {name}"] = [m * f for m in medians for f in (1 - off, 1.0, 1 + off)]
+    table = F.create_map(*[x for k, v in known.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.coalesce(F.try_element_at(table, lang), F.try_element_at(table, F.concat(F.lit("script "), script)))
+
+
+def _band(measure: str, docs: Column, own: list[Column], reference: list[Column]) -> tuple[Column, Column]:
+    """Low and high from quartiles of `docs` documents and reference ones."""
+    share = docs / (docs + PRIOR)
+    q0, q1, q2 = (share * a + (1 - share) * b for a, b in zip(own, reference, strict=True))
+    doubt = F.abs(own[1] - reference[1]) * F.sqrt(share * (1 - share))
+    half = F.greatest((q2 - q0) * RANGES, q1 * LEAST) + doubt
+    low = F.lit(-1.0) if measure == "byte_share" else q1 - half
+    high = F.lit(2.0) if measure == "rel_entropy" else q1 + half
+    return low, F.greatest(high, F.lit(BYTE_SHARE_FLOOR)) if measure == "byte_share" else high
+
+
+def bands(judged: DataFrame) -> DataFrame:
+    """One row per `_group`: low and high of each measure, with the reference of its commonest script."""
+    q = _quartiles(judged, "_group")
+    common = judged.groupBy(F.col("_group").alias("grp")).agg(F.mode("_script", True).alias("script"))
+    q = q.join(common, "grp").withColumn("ref", _reference(F.col("grp"), F.col("script")))
+    sides = []
+    for i, m in enumerate(DOUBLES):
+        reference = [F.col("ref")[3 * i + k] for k in range(3)]
+        pair = _band(m, F.col("docs"), [F.col("q0"), F.col("q1"), F.col("q2")], reference)
+        sides += [F.max(F.when(F.col("m") == m, c)).alias(f"_{m}_{s}") for s, c in zip(("low", "high"), pair, strict=True)]
+    return q.groupBy(F.col("grp").alias("_group")).agg(*sides)
 
 
 def measured(docs: DataFrame, folder: str = TOKENIZERS, text: bool = True) -> DataFrame:
@@ -242,18 +277,15 @@ def measured(docs: DataFrame, folder: str = TOKENIZERS, text: bool = True) -> Da
 
 def judge(docs: DataFrame, folder: str = TOKENIZERS, text: bool = True) -> DataFrame:
     """`docs` with the struct columns `_m` (measures) and `_v` (base_failed, kept, failed_rule)."""
-    rows = measured(docs, folder, text).withColumn("_lang", F.coalesce(F.lower("lang"), F.lit("")))
-    rows = rows.withColumn("_script", F.col("_m.script"))
-    judged = rows.where(F.col("_m.n_tokens") >= MIN_TOKENS).select("_lang", "_script", "_m.*")
-    own = bands(judged.where("_lang <> ''"), "_lang")
-    script = bands(judged, "_script")
-    sides = [c for c in own.columns if c != "_lang"]
-    rows = null_safe_join(rows, own.withColumnsRenamed({c: f"_own_{c}" for c in sides}), ["_lang"], "left")
-    rows = null_safe_join(rows, script.withColumnsRenamed({c: f"_scr_{c}" for c in sides}), ["_script"], "left")
+    rows = measured(docs, folder, text).withColumn("_script", F.col("_m.script"))
+    lang = F.nullif(F.lower("lang"), F.lit(""))
+    rows = rows.withColumn("_group", F.coalesce(lang, F.concat(F.lit("script "), "_script")))
+    judged = rows.where(F.col("_m.n_tokens") >= MIN_TOKENS).select("_group", "_script", "_m.*")
+    own = bands(judged)
+    rows = null_safe_join(rows, own, ["_group"], "left")
 
     def side(measure: str, which: str) -> Column:
-        fixed = F.lit(WIDE[measure][0 if which == "low" else 1])
-        return F.coalesce(F.col(f"_own_{measure}_{which}"), F.col(f"_scr_{measure}_{which}"), fixed)
+        return F.col(f"_{measure}_{which}")
 
     m = F.col("_m")
     base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
@@ -262,7 +294,7 @@ def judge(docs: DataFrame, folder: str = TOKENIZERS, text: bool = True) -> DataF
         outside = (m[name] < side(name, "low")) | (m[name] > side(name, "high"))
         failed = failed.when((m["n_tokens"] >= MIN_TOKENS) & outside, F.lit(name))
     verdict = F.struct(base.alias("base_failed"), failed.isNull().alias("kept"), failed.alias("failed_rule"))
-    return rows.withColumn("_v", verdict).drop(*[c for c in rows.columns if c.startswith(("_own_", "_scr_"))], "_lang", "_script")
+    return rows.withColumn("_v", verdict).drop(*[c for c in own.columns if c != "_group"], "_group", "_script")
 
 
 def keep_good(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:

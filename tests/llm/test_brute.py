@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import cases
+import duckdb
 import numpy as np
 
 from sitewise.llm import mixing, neardup, packing, quality_rules, sharding, suffix, textstats
@@ -57,6 +58,36 @@ def test_rules_reject_odd_and_keep_usual(spark):
     assert kept == set(range(300))
 
 
+def odd(text):
+    """Every word ends in signs, so a word takes more tokens."""
+    return " ".join(w + "%*&#$"[i % 5] * 3 for i, w in enumerate(text.split()))
+
+
+def usual(lang, n):
+    docs = duckdb.sql(
+        f"select text from '{cases.SF}/documents.parquet' join '{cases.SF}/labels.parquet' using (doc_id) "
+        f"where quality = 1 and lang = '{lang}' and length(text) between 1200 and 9000 order by doc_id limit {n}"
+    )
+    return [t for (t,) in docs.fetchall()]
+
+
+def test_small_and_large_tables_judge_alike(spark):
+    texts, rare = usual("en", 30), usual("fr", 3)
+    for n in (1, 4, 30):
+        docs = [(i, t, "en", "a", 0) for i, t in enumerate(texts[:n])] + [(100, odd(texts[0]), "en", "a", 0)]
+        docs += [(200 + i, t, "fr", "a", 0) for i, t in enumerate(rare)] + [(300, odd(rare[0]), "FR", "a", 0)]
+        kept = {r["doc_id"] for r in quality_rules.keep_good(cases.docs(spark, docs)).collect()}
+        assert kept == {*range(n), 200, 201, 202}
+
+
+def test_rare_language_in_rare_script_is_judged(spark):
+    rng = random.Random(9)
+    greek = " ".join("".join(rng.choice("αειοςντρ") for _ in range(rng.randint(3, 8))) for _ in range(150))
+    bare = " ".join(f"{w[0]}%*&" for w in greek.split())
+    docs = [(1, bare, "el", "a", 0), (2, bare, None, "a", 0)]
+    assert quality_rules.keep_good(cases.docs(spark, docs)).collect() == []
+
+
 # Near-duplicates ---------------------------------------------------------------
 
 
