@@ -12,8 +12,8 @@ in a small table as well.
 Words are tokenised one by one with a leading space, as both vocabularies treat words inside running
 text, so the tokens of a word are looked up in a bounded store.
 
-Edge cases: a null or empty text has no words and fails the base rule; texts with few tokens are not
-judged by bands; a null or empty language is its script; repeated rows are judged alike; an empty table gives
+Edge cases: a null or empty text has no words and fails the base rule; texts with few tokens have
+wider bands; a null or empty language is its script; repeated rows are judged alike; an empty table gives
 an empty result; extra columns pass through `judge`.
 """
 
@@ -44,12 +44,14 @@ WORDS_KEPT = 400_000
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Texts below so many tokens are too short for a stable measure.
+#: Texts below so many tokens don't shape a band.
 MIN_TOKENS = 64
+#: Below so many tokens the band widens, by the root of the share that is missing.
+STEADY_TOKENS = 160
 #: Documents that a reference counts for.
 PRIOR = 50
 #: Band half-width: this multiple of the quartile range, and at least this share of the median.
-RANGES, LEAST = 4.0, 0.12
+RANGES, LEAST = 4.0, 0.05
 #: Bits beyond which a longer text isn't expected to become more varied.
 FULL_ENTROPY = 6.5
 #: A share of bare bytes up to this is never rejected.
@@ -241,27 +243,33 @@ def _reference(lang: Column, script: Column) -> Column:
     return F.coalesce(F.try_element_at(table, lang), F.try_element_at(table, F.concat(F.lit("script "), script)))
 
 
-def _band(measure: str, docs: Column, own: list[Column], reference: list[Column]) -> tuple[Column, Column]:
-    """Low and high from quartiles of `docs` documents and reference ones."""
+def _band(docs: Column, own: list[Column], reference: list[Column]) -> tuple[Column, Column]:
+    """Middle and half-width from quartiles of `docs` documents and reference ones."""
     share = docs / (docs + PRIOR)
     q0, q1, q2 = (share * a + (1 - share) * b for a, b in zip(own, reference, strict=True))
     doubt = F.abs(own[1] - reference[1]) * F.sqrt(share * (1 - share))
-    half = F.greatest((q2 - q0) * RANGES, q1 * LEAST) + doubt
-    low = F.lit(-1.0) if measure == "byte_share" else q1 - half
-    high = F.lit(2.0) if measure == "rel_entropy" else q1 + half
-    return low, F.greatest(high, F.lit(BYTE_SHARE_FLOOR)) if measure == "byte_share" else high
+    return q1, F.greatest((q2 - q0) * RANGES, q1 * LEAST) + doubt
+
+
+def _outside(measure: str, value: Column, tokens: Column, middle: Column, half: Column) -> Column:
+    """Whether a value lies outside its band, which is wider for a short text."""
+    half = half * F.sqrt(F.greatest(F.lit(1.0), F.lit(float(STEADY_TOKENS)) / tokens))
+    low, high = value < middle - half, value > middle + half
+    if measure == "byte_share":
+        return high & (value > BYTE_SHARE_FLOOR)
+    return low if measure == "rel_entropy" else low | high
 
 
 def bands(judged: DataFrame) -> DataFrame:
-    """One row per `_group`: low and high of each measure, with the reference of its commonest script."""
+    """One row per `_group`: middle and half-width of each measure, with the reference of its commonest script."""
     q = _quartiles(judged, "_group")
     common = judged.groupBy(F.col("_group").alias("grp")).agg(F.mode("_script", True).alias("script"))
     q = q.join(common, "grp").withColumn("ref", _reference(F.col("grp"), F.col("script")))
     sides = []
     for i, m in enumerate(DOUBLES):
         reference = [F.col("ref")[3 * i + k] for k in range(3)]
-        pair = _band(m, F.col("docs"), [F.col("q0"), F.col("q1"), F.col("q2")], reference)
-        sides += [F.max(F.when(F.col("m") == m, c)).alias(f"_{m}_{s}") for s, c in zip(("low", "high"), pair, strict=True)]
+        pair = _band(F.col("docs"), [F.col("q0"), F.col("q1"), F.col("q2")], reference)
+        sides += [F.max(F.when(F.col("m") == m, c)).alias(f"_{m}_{s}") for s, c in zip(("middle", "half"), pair, strict=True)]
     return q.groupBy(F.col("grp").alias("_group")).agg(*sides)
 
 
@@ -280,21 +288,19 @@ def judge(docs: DataFrame, folder: str = TOKENIZERS, text: bool = True) -> DataF
     rows = measured(docs, folder, text).withColumn("_script", F.col("_m.script"))
     lang = F.nullif(F.lower("lang"), F.lit(""))
     rows = rows.withColumn("_group", F.coalesce(lang, F.concat(F.lit("script "), "_script")))
-    judged = rows.where(F.col("_m.n_tokens") >= MIN_TOKENS).select("_group", "_script", "_m.*")
-    own = bands(judged)
-    rows = null_safe_join(rows, own, ["_group"], "left")
-
-    def side(measure: str, which: str) -> Column:
-        return F.col(f"_{measure}_{which}")
+    own = bands(rows.where(F.col("_m.n_tokens") >= MIN_TOKENS).select("_group", "_script", "_m.*"))
+    rows = null_safe_join(rows, own, ["_group"], "left").withColumn("_ref", _reference(F.col("_group"), F.col("_script")))
 
     m = F.col("_m")
     base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     failed = F.when(base, F.lit("base"))
-    for name in DOUBLES:
-        outside = (m[name] < side(name, "low")) | (m[name] > side(name, "high"))
-        failed = failed.when((m["n_tokens"] >= MIN_TOKENS) & outside, F.lit(name))
+    for i, name in enumerate(DOUBLES):
+        reference = [F.col("_ref")[3 * i + k] for k in range(3)]
+        alone = _band(F.lit(0), reference, reference)  # of a group whose texts are all short
+        middle, half = (F.coalesce(f"_{name}_{s}", c) for s, c in zip(("middle", "half"), alone, strict=True))
+        failed = failed.when(_outside(name, m[name], m["n_tokens"], middle, half), F.lit(name))
     verdict = F.struct(base.alias("base_failed"), failed.isNull().alias("kept"), failed.alias("failed_rule"))
-    return rows.withColumn("_v", verdict).drop(*[c for c in own.columns if c != "_group"], "_group", "_script")
+    return rows.withColumn("_v", verdict).drop(*[c for c in own.columns if c != "_group"], "_group", "_script", "_ref")
 
 
 def keep_good(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:

@@ -80,6 +80,18 @@ def test_small_and_large_tables_judge_alike(spark):
         assert kept == {*range(n), 200, 201, 202}
 
 
+def test_quartile_range_sets_the_band_and_short_texts_are_judged(spark):
+    texts = usual("en", 30)
+    table = ["\n".join(" | ".join(t.split()[i : i + 4]) for i in range(0, len(t.split()), 4)) for t in texts[:5]]
+    short = [" ".join(t.split()[:12]) for t in texts[5:10]]
+    docs = [(i, t, "en", "a", 0) for i, t in enumerate([*texts, *table, *short, *map(odd, short)])]
+    made = quality_rules.judge(cases.docs(spark, docs)).select("doc_id", "_m.n_tokens", "_v.*").collect()
+    verdict = {r["doc_id"]: r["kept"] for r in made}
+    assert all(r["n_tokens"] < 64 for r in made if 35 <= r["doc_id"])
+    assert [i for i in range(30) if not verdict[i]] == []
+    assert [verdict[i] for i in range(30, 45)] == [False] * 5 + [True] * 5 + [False] * 5
+
+
 def test_rare_language_in_rare_script_is_judged(spark):
     rng = random.Random(9)
     greek = " ".join("".join(rng.choice("αειοςντρ") for _ in range(rng.randint(3, 8))) for _ in range(150))
