@@ -1,6 +1,6 @@
 """Near-duplicates by fast similarity sketching, banding and exact verification.
 
-A document is the set of its distinct four-word shingles, lower-cased. Its sketch has `COORDINATES`
+A document is the set of its distinct word shingles, lower-cased, of four words or as many as asked. Its sketch has `COORDINATES`
 places. In round i every shingle goes to one place by a hash and leaves the value (i, hash fraction);
 a place keeps the smallest. Rounds go on until every place is filled; after as many rounds as places,
 place j is filled by round j alone, so filling is certain, and the share of equal places concentrates
@@ -16,7 +16,7 @@ component and leave the bucket; sixteen times as many each round. A pair is comp
 band that it shares. When no bucket is left, every pair of a bucket is either in one component or has
 been compared. Links are confirmed on the full sets.
 
-Edge cases: a null or empty text has no shingle and is linked with nothing; fewer than four words are
+Edge cases: a null or empty text has no shingle and is linked with nothing; fewer words than a shingle has are
 one shingle; rows with equal ids are one document; rows with a null id take the component of equal
 rows that have an id, else none, and are kept then; an empty table gives an empty result; further
 columns are ignored by `near_duplicates` and kept by `keep_first`.
@@ -25,6 +25,7 @@ columns are ignored by `near_duplicates` and kept by `keep_first`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from sitewise.llm.graph import components
 from sitewise.llm.textstats import number_words
 from sitewise.operators.staging import write_and_read
 
+#: Words of a shingle where none are asked for.
 SHINGLE = 4
 ROWS, BANDS = 6, 48
 COORDINATES = ROWS * BANDS
@@ -107,7 +109,7 @@ def band_keys(places: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     names = ["doc_id", "n_shingles", "digest", "bands"]
@@ -117,7 +119,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(start, 256)
             sizes, digests, bands = [], [], []
             for text in batch.column(1).to_pylist():
-                elements = shingle_set(text or "")
+                elements = shingle_set(text or "", shingle)
                 sizes.append(len(elements))
                 digests.append(xxhash.xxh3_128_hexdigest(elements.tobytes()) if len(elements) else None)
                 bands.append(band_keys(sketch(elements)).tolist() if len(elements) else None)
@@ -125,11 +127,11 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, 256):
             batch = whole.slice(start, 256)
-            sets = [np.sort(shingle_set(t or "").view(np.int64)) for t in batch.column(1).to_pylist()]
+            sets = [np.sort(shingle_set(t or "", shingle).view(np.int64)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cls", "elements"])
 
 
@@ -191,11 +193,11 @@ def _linkable(entries: DataFrame, sets: DataFrame) -> DataFrame:
     return entries.where(100 * F.col("core") >= PERCENT * F.col("n")).drop("_alone")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set)."""
     rows = write_and_read(
         docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            _sketch_rows, "doc_id long, n_shingles long, digest string, bands array<long>"
+            partial(_sketch_rows, shingle=shingle), "doc_id long, n_shingles long, digest string, bands array<long>"
         ),
         "sketches",
     )
@@ -210,7 +212,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     labels = write_and_read(buckets.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("cls"), "text").join(labels.select("cls"), "cls")
-    sets = write_and_read(texts.mapInArrow(_set_rows, "cls long, elements array<long>"), "sets")
+    sets = write_and_read(texts.mapInArrow(partial(_set_rows, shingle=shingle), "cls long, elements array<long>"), "sets")
 
     # Each class against the smallest class of its buckets.
     first = buckets.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("_lead"))
@@ -267,9 +269,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of `docs` that stay: one document of each component, once."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, shingle).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
     one = Window.partitionBy("doc_id").orderBy("text")
     with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     return with_id.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth").unionByName(docs.where("doc_id is null"))

@@ -157,6 +157,14 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in stay) == sorted(set(want.values()))
 
 
+def test_shingle_size_is_a_parameter(spark):
+    one = cases.words(50, 43).split()
+    two = [*one[:20], "other", *one[21:]]  # 36 of 44 four-word shingles in common, 34 of 44 five-word ones
+    docs = cases.docs(spark, [(1, " ".join(one), None, None, 0), (2, " ".join(two), None, None, 0)])
+    assert sorted(r["doc_id"] for r in neardup.keep_first(docs, shingle=5).collect()) == [1, 2]
+    assert [r["doc_id"] for r in neardup.keep_first(docs).collect()] == [1]
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(3)
     for n in (1, 2, 7, 60, 900):
