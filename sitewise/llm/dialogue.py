@@ -18,7 +18,7 @@ row that stays costs 5 more. Equal costs go to the ASCII-least edit string.
 
 Edge cases. Null roles and texts count as one space; a null conversation id is a conversation. Rows are
 ordered by turn, nulls first, then role, then text (its first 64 characters, then its SHA-256); equal rows
-are repeats of each other. Any other role than those starting with s, u or a can be reroled or deleted.
+are repeats of each other. A role that starts with no s, u or a, the empty one included, is reroled or deleted.
 Very long texts are only hashed. An empty table gives an empty report. Only the four columns are read,
 so further columns can't clash. No conversation is ever collected: a group has at most 65 slim rows, and
 the digest streams sorted rows. What is one value by contract, the edit string (a byte a row) and the
@@ -374,9 +374,9 @@ def repair_report(rows: DataFrame, originals: DataFrame | None = None) -> DataFr
         *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts],
     )
     wide = F.col("high").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)") + 1 - F.col("turns")
-    gaps = F.least(wide, F.lit((1 << 63) - 1).cast("decimal(20,0)")).cast("long")
+    gaps = F.when(wide.isNotNull(), F.least(wide, F.lit((1 << 63) - 1).cast("decimal(20,0)")).cast("long")).otherwise(0)
     return told.select(
-        "conv_id", F.coalesce(gaps, F.lit(0).cast("long")).alias("gaps"), *counts, F.coalesce("cost", F.lit(0).cast("long")).alias("cost"),
+        "conv_id", gaps.alias("gaps"), *counts, F.coalesce("cost", F.lit(0).cast("long")).alias("cost"),
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitewise.llm import (
     centroids,
+    credentials,
     dialogue,
     fingerprint,
     mixing,
@@ -307,3 +308,13 @@ left join counted on counted.conv_id is not distinct from o.conv_id
 left join solved on solved.conv_id is not distinct from o.conv_id
 left join shas on shas.conv_id is not distinct from o.conv_id
 """
+
+
+@query
+def op11_guess_cost(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    found = credentials.find_secrets(table(spark, sf_dir, "documents"))
+    spans = credentials.span_text(F.col("secrets"))
+    added = F.size(F.filter("secrets", lambda s: s["bits"].isNotNull())).cast("long")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), added.alias("n_guess"))
