@@ -164,6 +164,31 @@ def pcc_histogram(spark, d):
     return M.histogram(pccs, ["group_idx"], "pcc", -1.0, 1.0, 20)
 
 
+@query(
+    "pcc_density",
+    sql(
+        "eval_full",
+        """select group_idx, f.n, point, round(low + point * step + 1e-9, 6) + 0.0 as x,
+                  round(sum(w * exp(-0.5::double * ((point - i) * step / h) * ((point - i) * step / h)))
+                        / (f.n * h * sqrt(2 * pi())) + 1e-9, 6) + 0.0 as density
+           from facts f join binned b using (group_idx), range(50) p(point) group by group_idx, f.n, point, low, step, h""",
+        by_cpg="select group_idx, cpg_idx, round(pcc, 6) as pcc from (select group_idx, cpg_idx, "
+        f"{_RAW} from eval_full group by 1, 2) where pcc is not null",
+        facts="""select group_idx, n, h, low - 2 * h as low, (high - low + 4.0::double * h) / 49 as step from (
+                   select group_idx, count(*) as n, min(pcc) as low, max(pcc) as high, stddev_samp(pcc) * pow(count(*)::double, -0.2::double) as h
+                   from by_cpg group by 1) where low < high""",
+        binned="""select group_idx, i + side as i, sum(case when side = 0 then 1 - (at_ - i) else at_ - i end) as w
+                  from (select group_idx, (pcc - low) / step as at_, least(floor((pcc - low) / step), 48)::int as i
+                        from by_cpg join facts using (group_idx)), (values (0), (1)) s(side) group by 1, 2""",
+    ),
+)
+def pcc_density(spark, d):
+    """Density of the correlations of each split on 50 places."""
+    pccs = M.correlation_by(eval_long(spark, d), ["group_idx", "cpg_idx"]).withColumn("pcc", F.round("pcc", 6))
+    made = M.density(pccs, ["group_idx"], "pcc", points=50)
+    return made.select("group_idx", "n", F.col("point").cast("bigint").alias("point"), r6("x").alias("x"), r6("density").alias("density"))
+
+
 @query(
     "metrics_wide",
     sql(

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from sitewise.functions import sequence as S
 from sitewise.operators import windows as W
-from sitewise.plans.book import query, rs, r6, sql
+from sitewise.operators.staging import staging_path
+from sitewise.plans.book import ORACLE, query, rs, r6, sql
 from sitewise.plans.inputs import TILE, WINDOW, contig_lengths, genome, locus
+from sitewise.sources import fasta
 
 
 def site_windows(spark, d):
@@ -36,6 +38,33 @@ def genome_tiles(spark, d):
     return W.tile_sequences(genome(spark, d), TILE, WINDOW).withColumn("seq_len", F.col("seq_len").cast("bigint"))
 
 
+def _fasta(spark, d) -> str:
+    """The genome as FASTA text in the shared folder, lines of 60 bases."""
+    path = staging_path(spark, "fasta")
+    fasta.write_fasta(genome(spark, d), path)
+    return path
+
+
+@query("fasta_tiles", ORACLE["genome_tiles"])
+def fasta_tiles(spark, d):
+    """The tile store put together from the lines of FASTA files."""
+    return fasta.read_fasta_tiles(spark, _fasta(spark, d), TILE, WINDOW)
+
+
+@query("fasta_sizes", sql("genome", "select chr, seq_len from genome"))
+def fasta_sizes(spark, d):
+    return fasta.contig_sizes(fasta.contig_lines(spark, _fasta(spark, d))).select("chr", "seq_len")
+
+
+@query("fasta_windows", ORACLE["seq_window"])
+def fasta_windows(spark, d):
+    """Site windows out of a FASTA file, no contig ever being one row."""
+    tiles = fasta.read_fasta_tiles(spark, _fasta(spark, d), TILE, WINDOW)
+    sites = locus(spark, d).select("cpg_idx", "chr", "pos", "chr_pos")
+    windows = W.site_windows(sites, tiles, TILE, WINDOW)
+    return windows.select("cpg_idx", "chr_pos", "sequence", W.is_site_base().alias("is_site_base"))
+
+
 @query("contig_lengths", sql("genome", "select chr, seq_len from genome"))
 def contig_length_table(spark, d):
     return contig_lengths(spark, d).select("chr", "seq_len")

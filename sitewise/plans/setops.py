@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitewise.functions.labels import name_part
-from sitewise.operators import audits, ids, sets
+from sitewise.operators import audits, ids, order, sets
+from sitewise.operators.staging import staging_path
 from sitewise.plans.book import query, r6, rs, sql
 from sitewise.plans.inputs import cohort, contig_lengths, eval_long, ge_long, genes, locus, me_long, samples, sources, table
+from sitewise.sources.writers import write_equal_shards
 
 
 @query("source_tag", sql("sources", "select group_idx, count(*) as n, min(chr_pos) as first_key from sources group by 1"))
@@ -123,6 +125,52 @@ def same_keys(spark, d):
     return audits.key_count_differences(a, b, "chr_pos")
 
 
+_BITS = 24
+
+
+def _digest_sql(rows: str) -> str:
+    """The polynomial of a set's rows (pos, h): powers by the bits of the place, each step modulo the prime."""
+    power = "1::bigint"
+    for bit in range(_BITS):
+        power = f"(({power}) * (case when (pos >> {bit}) & 1 = 1 then {pow(order.BASE, 1 << bit, order.PRIME)} else 1 end) % {order.PRIME})"
+    return f"(select coalesce(sum(h % {order.PRIME} * {power} % {order.PRIME}) % {order.PRIME}, 0)::bigint from {rows})"
+
+
+_ORDERS = {"resharded": "p_partkey", "moved": "p_partkey // 700, p_size, p_partkey"}
+
+
+@query(
+    "same_order",
+    sql(
+        "",
+        " union all ".join(
+            f"""select '{name}' as case_name, (select count(*) from base) as n_left, (select count(*) from {name}) as n_right,
+                       {_digest_sql("base")} as digest_left, {_digest_sql(name)} as digest_right, true as same_rows,
+                       not exists (select 1 from base join {name} using (pos) where base.h <> {name}.h) as same_order,
+                       (select min(pos) from base join {name} using (pos) where base.h <> {name}.h) as first_difference"""
+            for name in _ORDERS
+        ),
+        **{
+            name: f"""select row_number() over (order by {by}) - 1 as pos, ('0x' || substr(md5('=' || p_partkey), 1, 15))::bigint as h from part"""
+            for name, by in {"base": "p_partkey", **_ORDERS}.items()
+        },
+    ),
+)
+def same_order(spark, d):
+    """Shard sets of one table: cut anew in the same order, and with rows moved inside stretches of 700 keys."""
+    parts = table(spark, d, "part").select("p_partkey", "p_size")
+
+    def written(order_by: list, rows_per_file: int):
+        path = staging_path(spark, "shards")
+        write_equal_shards(parts, path, order_by, rows_per_file)
+        return order.shard_rows(spark, path, ["p_partkey"], shard="shard")
+
+    base = written(["p_partkey"], 333)
+    others = {"resharded": written(["p_partkey"], 500), "moved": written([F.floor(F.col("p_partkey") / 700), "p_size", "p_partkey"], 333)}
+    cases = [order.compare_order(base, s, ["p_partkey"]).select(F.lit(n).alias("case_name"), "*") for n, s in others.items()]
+    return cases[0].unionByName(cases[1])
+
+
 @query(
     "known_chromosome",
     sql(

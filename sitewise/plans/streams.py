@@ -10,7 +10,9 @@ from sitewise.operators.staging import staging_path
 from sitewise.plans.book import query, r6, rs, sql
 from sitewise.plans.inputs import corr_sql, locus, table
 from sitewise.plans.keys import _CHR_IDX
-from sitewise.streaming import flows
+from sitewise.sources.writers import write_equal_shards
+from sitewise.streaming import epochs, flows
+from sitewise.streaming.moments import MomentTable, scores
 
 
 def _stream(spark, d, name: str):
@@ -104,3 +106,63 @@ def stream_metrics(spark, d):
     flows.running_table(scores, out, staging_path(spark, "state")).awaitTermination()
     last = flows.latest(spark, out, ["cpg_idx"])
     return last.select("cpg_idx", "n", *[r6(c).alias(c) for c in ("pcc", "mse", "mae")])
+
+
+_SHARDS = 12
+
+
+def _shards_of(spark, d, name: str, key: str):
+    """A table as numbered shards of neighbouring keys, so that a stream over it has several batches."""
+    path = staging_path(spark, "shards")
+    rows = table(spark, d, name)
+    size = -(-rows.count() // _SHARDS) or 1
+    write_equal_shards(rows, path, key.split(), size)
+    return path
+
+
+@query(
+    "stream_metrics_by_group",
+    f"""select l_linenumber % 3 as group_idx, l_partkey as cpg_idx, count(*) as n, {corr_sql('l_tax', 'l_discount')} as pcc,
+               {rs(f'avg({_ERR} * {_ERR})')} as mse, {rs(f'avg(abs({_ERR}))')} as mae from lineitem group by 1, 2""",
+)
+def stream_metrics_by_group(spark, d):
+    """Scores by split and site over six batches, merged into a new base every two."""
+    path = _shards_of(spark, d, "lineitem", "l_orderkey l_linenumber")
+    stream = flows.read_shards(spark, f"{path}/shard=*", table(spark, d, "lineitem").schema, files_per_trigger=2)
+    keyed = stream.select((F.col("l_linenumber") % 3).alias("group_idx"), F.col("l_partkey").alias("cpg_idx"), "l_tax", "l_discount")
+    store = MomentTable(spark, staging_path(spark, "moments"), ["group_idx", "cpg_idx"], compact_every=2)
+    store.follow(keyed, "l_tax", "l_discount", staging_path(spark, "state")).awaitTermination()
+    found = scores(store.moments(), store.keys)
+    return found.select("group_idx", "cpg_idx", "n", *[r6(c).alias(c) for c in ("pcc", "mse", "mae")])
+
+
+_SEED, _EPOCHS = 9176, 2
+
+
+@query(
+    "stream_epochs",
+    f"""
+with numbered as (
+  select event_id, event_type, row_number() over (order by event_id) - 1 as r, (select count(*) from events) as total from events),
+shards as (select *, r // ((total + {_SHARDS - 1}) // {_SHARDS}) as shard from numbered),
+names as (select row_number() over (order by name) - 1 as i, shard from (select distinct shard, 'shard=' || shard || '/' as name from shards)),
+turns as (
+  select epoch, shard, row_number() over (partition by epoch order by sha256('{_SEED}:' || epoch || ':0:' || i)) as turn
+  from names, range({_EPOCHS}) e(epoch)),
+queued as (
+  select epoch::int as epoch, event_id, event_type, total, row_number() over (partition by epoch order by turn, r) - 1 as place
+  from shards join turns using (shard))
+select epoch, place, event_id, event_type from queued where place < total * 3 // 4""",
+)
+def stream_epochs(spark, d):
+    """Two seeded epochs of three quarters of the events each."""
+    path = _shards_of(spark, d, "events", "event_id")
+    rows = table(spark, d, "events").count() * 3 // 4
+    out, state = staging_path(spark, "epochs"), staging_path(spark, "state")
+    stream = epochs.read_epochs(
+        spark, path, state, "event_id bigint, event_type string", seed=_SEED, epochs=_EPOCHS, rows_per_epoch=rows, shards_per_batch=5
+    )
+    run = epochs.append_epochs(stream, out, state)
+    run.processAllAvailable()
+    run.stop()
+    return spark.read.schema(stream.schema).parquet(out).select("epoch", "place", "event_id", "event_type")
