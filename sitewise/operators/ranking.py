@@ -94,11 +94,13 @@ def hash_ranked(
     no task sees more than one bucket of a key. With `below` only rows at smaller positions are
     returned, and buckets that start beyond it are left out before they are sorted.
     """
+    # Written once: counting, bucket sizes and ranks below read the file, not the plan behind `df`.
+    hashed = write_and_read(df.withColumn("_hash", hash_text(ids, seed)), "hashed")
     digits = 1
-    rows = df.count()
+    rows = hashed.count()
     while 16**digits * BUCKET_ROWS < rows:
         digits += 1
-    hashed = df.withColumn("_hash", hash_text(ids, seed)).withColumn("_bucket", F.substring("_hash", 1, digits))
+    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
     per_key = Window.partitionBy(*keys)
     buckets = (
         hashed.groupBy(*keys, "_bucket")

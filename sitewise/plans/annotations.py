@@ -13,8 +13,8 @@ from sitewise.plans.inputs import ge_long, genes, islands, locus
 from sitewise.schemas import ISLAND_SEPARATOR, ISLAND_TYPES
 
 
-def island_tuples(spark, d):
-    return A.island_tuples(islands(spark, d), "cpg_idx", "ord", "location", "cgi_index")
+def island_tuples(spark, d, sites=None):
+    return A.island_tuples(islands(spark, d, sites), "cpg_idx", "ord", "location", "cgi_index")
 
 
 @query("island_tuple", sql("island_tuples", "select cpg_idx, cpg_island_tuple, num_cpg_island_tuple from island_tuples"))

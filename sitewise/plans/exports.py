@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.sequence import kmer_ids
 from sitewise.operators import export, ids, inference
+from sitewise.operators.staging import write_and_read
+from sitewise.operators.store import write_bucketed
 from sitewise.plans.annotations import island_tuples
 from sitewise.plans.book import query, r6, rs, sql
 from sitewise.plans.inputs import WINDOW, islands, locus, me_long, samples, table
@@ -15,9 +17,9 @@ from sitewise.operators.splits import four_way
 from sitewise.schemas import SPLIT_NAMES
 
 
-def _assembled(spark, d):
-    windows = site_windows(spark, d).select("cpg_idx", "chr", "pos", "chr_pos", "sequence")
-    return export.assemble_sites(windows, island_tuples(spark, d))
+def _assembled(spark, d, sites=None):
+    windows = site_windows(spark, d, sites).select("cpg_idx", "chr", "pos", "chr_pos", "sequence")
+    return export.assemble_sites(windows, island_tuples(spark, d, sites))
 
 
 @query(
@@ -35,8 +37,8 @@ def assemble_site(spark, d):
     "assembly_gaps",
     sql(
         "locus islands",
-        """select cpg_idx, 'left' as side from locus
-           anti join (select cpg_idx from islands where location <> 'sea') using (cpg_idx)""",
+        """select cpg_idx, 'left' as side
+           from (select cpg_idx from locus except select cpg_idx from islands where location <> 'sea')""",
     ),
 )
 def assembly_gaps(spark, d):
@@ -64,9 +66,9 @@ _CHR_NO = "case when chr = 'chrX' then 22 when chr = 'chrY' then 23 else cast(su
 ALL_CHR = [f"chr{i}" for i in range(1, 23)] + ["chrX", "chrY"]
 
 
-def _labelled(spark, d):
+def _labelled(spark, d, sites):
     pairs = me_long(spark, d).where("methylation is not null")
-    return four_way(pairs, site_split(spark, d), sample_split(spark, d))
+    return four_way(pairs, site_split(spark, d, sites), sample_split(spark, d))
 
 
 @query(
@@ -81,9 +83,11 @@ def _labelled(spark, d):
     ),
 )
 def export_pairs(spark, d):
-    sites = export.usable_sites(_assembled(spark, d), ALL_CHR, crop=100)
+    """Sites are written once, and the usable ones with their windows and labels once more by bucket."""
+    sites = write_and_read(locus(spark, d), "sites")
+    usable = write_bucketed(export.usable_sites(_assembled(spark, d, sites), ALL_CHR, crop=100), "cpg_idx")
     groups = export.group_table(spark, SPLIT_NAMES)
-    return export.export_pairs(_labelled(spark, d), sites, _sample_ids(spark, d), groups)
+    return export.export_pairs(_labelled(spark, d, sites), usable, _sample_ids(spark, d), groups)
 
 
 _WORD_CODE = " + ".join(

@@ -140,9 +140,9 @@ union all select 2, cpg_idx, chr, pos, chr_pos from locus where size >= 30
 """
 
 
-def islands(spark: SparkSession, d: str) -> DataFrame:
+def islands(spark: SparkSession, d: str, sites: DataFrame | None = None) -> DataFrame:
     """Island labels: sea, or two labels per site."""
-    sites = locus(spark, d)
+    sites = locus(spark, d) if sites is None else sites
     count = F.when(F.col("pos") % 3 == 0, 1).otherwise(2)
     sea = F.col("pos") % 3 == 0
     return sites.withColumn("ord", F.explode(F.sequence(F.lit(1), count))).select(

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from sitewise.functions import labels, loci
 from sitewise.operators import ids, profile, sets
+from sitewise.operators.staging import staging_path
 from sitewise.plans.book import query, r6, rs, sql
 from sitewise.plans.inputs import eval_long, locus, me_long, samples, sources
 from sitewise.schemas import CHROMOSOMES
+from sitewise.sources.writers import write_lookup
 
 _CHR_IDX = "case lower(chr) " + " ".join(f"when '{c}' then {i}" for i, c in enumerate(CHROMOSOMES)) + " end"
 
@@ -268,6 +270,24 @@ def lookup_by_idx(spark, d):
     return ids.find_by_id(locus(spark, d).drop("size"), "cpg_idx", [7, 42, 1999, 123456789])
 
 
+@query(
+    "lookup_written",
+    sql(
+        "locus",
+        """select cpg_idx, chr, pos, chr_pos from locus
+           where cpg_idx in (7, 42, 1999, 123456789) or chr_pos = (select chr_pos from locus where cpg_idx = 100)""",
+    ),
+)
+def lookup_written(spark, d):
+    """Sites by id and by name, out of a table that was written for lookups."""
+    path = staging_path(spark, "lookup")
+    write_lookup(locus(spark, d).drop("size"), path, "cpg_idx", ["chr_pos"], rows_per_group=500)
+    store = spark.read.parquet(path)
+    name = ids.find_by_id(store, "cpg_idx", [100]).first()
+    named = store.where(F.col("chr_pos") == (name["chr_pos"] if name else None))
+    return ids.find_by_id(store, "cpg_idx", [7, 42, 1999, 123456789]).unionByName(named).distinct()
+
+
 @query(
     "rel_pos_ratio",
     sql("genes genome", f"select gene_idx, chr, {rs('(start::double) / seq_len')} as pos_ratio from genes join genome using (chr)"),

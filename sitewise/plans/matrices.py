@@ -8,7 +8,9 @@ from sitewise.functions import arrays
 from sitewise.functions.labels import base_name
 from sitewise.operators import profile, reshape
 from sitewise.plans.book import query, r6, rs, sql
+from sitewise.operators.staging import staging_path
 from sitewise.plans.inputs import ge_long, me_long, samples, table
+from sitewise.sources import readers
 
 _VALUES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -24,6 +26,25 @@ def unpivot_matrix(spark, d):
     return reshape.melt(wide, ["l_orderkey", "l_linenumber", "l_partkey"], _VALUES, "sample_name", "value")
 
 
+@query(
+    "matrix_line_breaks",
+    """select doc_id, md5(doc_id || ' ' || text) as key, sample, value
+       from (select doc_id, text, unnest(['n_chars', 'doc_id']) as sample, unnest([n_chars::double, doc_id::double]) as value
+             from documents where text is not null)""",
+)
+def matrix_line_breaks(spark, d):
+    """A matrix whose keys are whole texts with line breaks and quotes, through CSV files."""
+    rows = table(spark, d, "documents").where("text is not null")
+    key = F.concat_ws(" ", F.col("doc_id").cast("string"), "text")
+    wide = rows.select(key.alias("key"), F.col("n_chars").cast("double"), F.col("doc_id").cast("double"))
+    path = staging_path(spark, "matrix")
+    csv = wide.write.option("header", True).option("escape", '"').option("quoteAll", True)
+    csv.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    long = readers.read_matrix_long(spark, path, line_breaks=True)
+    number = F.substring_index("key", " ", 1).cast("bigint").alias("doc_id")
+    return long.select(number, F.md5("key").alias("key"), "sample", "value")
+
+
 _REGIONS = [0, 1, 2, 3, 4]
 
 

@@ -12,9 +12,9 @@ from sitewise.plans.inputs import TILE, WINDOW, contig_lengths, genome, locus
 from sitewise.sources import fasta
 
 
-def site_windows(spark, d):
+def site_windows(spark, d, sites=None):
     tiles = W.tile_sequences(genome(spark, d), TILE, WINDOW)
-    sites = locus(spark, d).select("cpg_idx", "chr", "pos", "chr_pos")
+    sites = (locus(spark, d) if sites is None else sites).select("cpg_idx", "chr", "pos", "chr_pos")
     return W.site_windows(sites, tiles, TILE, WINDOW)
 
 

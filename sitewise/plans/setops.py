@@ -60,8 +60,10 @@ def union_samples(spark, d):
     "key_pool",
     sql(
         "locus",
-        """select cpg_idx, chr_pos from locus semi join (select chr_pos from locus where size <= 30) using (chr_pos)
-           anti join (select chr_pos from locus where size between 10 and 12 or size = 20) using (chr_pos)""",
+        """select l.cpg_idx, l.chr_pos from locus l
+           join (select distinct chr_pos from locus where size <= 30) i on i.chr_pos = l.chr_pos
+           left join (select distinct chr_pos from locus where size between 10 and 12 or size = 20) x on x.chr_pos = l.chr_pos
+           where x.chr_pos is null""",
     ),
 )
 def key_pool(spark, d):

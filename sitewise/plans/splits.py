@@ -17,9 +17,10 @@ def hash_sql(*cols: str) -> str:
     return f"md5(concat_ws('|', '{SEED}', {parts}))"
 
 
-def _unique_sites(spark, d):
+def _unique_sites(spark, d, sites=None):
     """Sites with unique keys, the input every site split asks for."""
-    return sets.dedupe(locus(spark, d).select("chr_pos", "cpg_idx", "chr", "pos"), ["chr_pos"], ["cpg_idx"])
+    sites = locus(spark, d) if sites is None else sites
+    return sets.dedupe(sites.select("chr_pos", "cpg_idx", "chr", "pos"), ["chr_pos"], ["cpg_idx"])
 
 
 SPLIT_SQL = {
@@ -34,8 +35,8 @@ SPLIT_SQL = {
 }
 
 
-def site_split(spark, d):
-    return splits.split_sites(_unique_sites(spark, d), 0.1, 0.6, SEED)
+def site_split(spark, d, sites=None):
+    return splits.split_sites(_unique_sites(spark, d, sites), 0.1, 0.6, SEED)
 
 
 def sample_split(spark, d, share: float = 0.5):
@@ -127,6 +128,23 @@ def reshard_assign(spark, d):
     return reshape.assign_shards(me_long(spark, d), ["cpg_idx", "sample_idx"], 1000)
 
 
+@query(
+    "reshard_interleave",
+    sql(
+        "me_long",
+        """select cpg_idx, sample_idx, place, place // 120 as shard from (
+             select cpg_idx, sample_idx, row_number() over (order by r // 8, worker, r) - 1 as place from (
+               select *, row_number() over (partition by worker order by cpg_idx, sample_idx) - 1 as r
+               from (select *, (cpg_idx + sample_idx) % 5 as worker from me_long)))""",
+    ),
+)
+def reshard_interleave(spark, d):
+    """Five readers take turns, 8 rows each; shards of 120."""
+    rows = me_long(spark, d).select("cpg_idx", "sample_idx", ((F.col("cpg_idx") + F.col("sample_idx")) % 5).alias("worker"))
+    placed = reshape.interleave(rows, "worker", ["cpg_idx", "sample_idx"], 8)
+    return placed.select("cpg_idx", "sample_idx", "place", F.floor(F.col("place") / 120).alias("shard"))
+
+
 @query(
     "shard_offsets",
     """select l_suppkey as shard, count(*) as num_rows,

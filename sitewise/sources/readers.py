@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sitewise.functions.numeric import nan_to_null
 
@@ -35,23 +36,57 @@ def read_matrix_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame
 
 def csv_fields(line: str | Column, sep: str = ",") -> Column:
     """The cells of a CSV line; quoted cells lose their quotes and may hold separators."""
-    cell = f'[{sep}]("(?:[^"]|"")*"|[^{sep}]*)'
+    # Runs without a quote are taken whole and kept, so a long cell needs no deep stack.
+    cell = f'[{sep}]("[^"]*+(?:""[^"]*+)*+"|[^{sep}]*)'
     cells = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(cell), F.lit(1))
     inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
     return F.transform(cells, lambda c: F.when(c.startswith('"') & (F.length(c) > 1), inner(c)).otherwise(c))
 
 
-def read_matrix_long(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _file, _from, _i): lines with their file, the start of their file block and their order in it."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"),
+        F.monotonically_increasing_id().alias("_i"),
+    )
+
+
+def quoted_records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
+    """Records of delimited text whose quoted cells may hold line breaks, as (value, _file, _from, _i) of their first line.
+
+    A line begins a record if the quotes before it in the file are even in number. Blocks of a file are
+    counted where they are read; the parity of all earlier blocks, and the record that is still open at a
+    block's start, come from one row per block. So a record may begin in one block and end in any later
+    one, and files stay split. The parts of a record are joined by a line feed.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    lines = _lines(spark, path).withColumn("_own", quotes.cast("bigint"))
+    blocks = lines.groupBy("_file", "_from").agg(F.sum("_own").alias("_n"))
+    earlier = Window.partitionBy("_file").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_file", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_open"))
+    inside = Window.partitionBy("_file", "_from").orderBy("_i")
+    before = F.coalesce(F.sum("_own").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = lines.join(blocks, ["_file", "_from"]).withColumn("_first", (F.col("_open") + before) % 2 == 0)
+    begun = F.last(F.when(F.col("_first"), F.struct("_from", "_i")), ignorenulls=True)
+    marked = marked.withColumn("_record", begun.over(inside))
+    # The last record begun in each block; lines before the first one of a block belong to the one before.
+    last = marked.groupBy("_file", "_from").agg(F.max_by("_record", "_i").alias("_record"))
+    carried = last.select("_file", "_from", F.last("_record", ignorenulls=True).over(earlier).alias("_carried"))
+    marked = marked.join(carried, ["_file", "_from"]).withColumn("_record", F.coalesce("_record", "_carried"))
+    parts = F.sort_array(F.collect_list(F.struct("_from", "_i", "value")))
+    records = marked.groupBy("_file", "_record").agg(parts.alias("_parts"))
+    return records.select(F.array_join("_parts.value", "\n").alias("value"), "_file", "_record.*")
+
+
+def read_matrix_long(spark: SparkSession, path: str, sep: str = ",", line_breaks: bool = False) -> DataFrame:
     """The same matrix as (key, sample, value) rows without a wide frame in between.
 
     Lines are cut once; the plan has the same size for ten columns and for ten thousand. The first
-    line of each file names the columns of that file.
+    line of each file names the columns of that file. With `line_breaks` quoted cells may hold them,
+    which costs two exchanges of the text.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from")
-    )
-    heads = lines.where("_from = 0").withColumn("_i", F.monotonically_increasing_id())
-    heads = heads.groupBy("_file").agg(F.min_by("value", "_i").alias("_head"))
+    lines = quoted_records(spark, path) if line_breaks else _lines(spark, path)
+    heads = lines.where("_from = 0").groupBy("_file").agg(F.min_by("value", "_i").alias("_head"))
     names = F.transform(
         csv_fields("_head", sep), lambda n, i: F.when(n == "", F.concat(F.lit("column_"), i.cast("string"))).otherwise(n)
     )

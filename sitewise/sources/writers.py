@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.operators.reshape import assign_shards
+from sitewise.operators.reshape import assign_shards, interleave
 
 MODES = {"overwrite": "overwrite", "skip": "ignore", "fail": "errorifexists"}
 
@@ -46,6 +46,30 @@ def write_sorted_by_id(df: DataFrame, path: str, idx: str, mode: str = "fail"):
     df.repartitionByRange(idx).sortWithinPartitions(idx).write.mode(MODES[mode]).parquet(path)
 
 
+def write_lookup(df: DataFrame, path: str, idx: str, names: list[str] = [], rows_per_group: int = 100_000, mode: str = "fail"):
+    """A table for point lookups by `idx` or by one of `names`.
+
+    Files are range-partitioned and sorted by `idx`, so the statistics of row groups and pages rule out all
+    but the place of an id. The names lie in no order; each row group gets a Bloom filter for them.
+    """
+    writer = df.repartitionByRange(idx).sortWithinPartitions(idx).write.mode(MODES[mode])
+    writer = writer.option("parquet.block.row.count.limit", rows_per_group).option("parquet.page.row.count.limit", 20_000)
+    for name in names:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{name}", rows_per_group)
+        writer = writer.option(f"parquet.enable.dictionary#{name}", "false")
+    writer.parquet(path)
+
+
+def write_interleaved(df: DataFrame, path: str, source: str, order: list[str], batch: int, rows_per_file: int, mode: str = "fail"):
+    """Files of exactly `rows_per_file` rows in which the sources take turns, see `reshape.interleave`."""
+    if rows_per_file % batch:
+        raise ValueError(f"{rows_per_file} rows a file are no multiple of {batch} rows a batch")
+    placed = interleave(df, source, order, batch).withColumn("shard", F.floor(F.col("place") / F.lit(rows_per_file)))
+    dealt = placed.repartition("shard").sortWithinPartitions("shard", "place").drop("place")
+    dealt.write.mode(MODES[mode]).partitionBy("shard").parquet(path)
+
+
 def write_summary(df: DataFrame, path: str, form: str = "csv", mode: str = "fail"):
     """Small result tables as CSV, TSV or JSON."""
     writer = df.write.mode(MODES[mode])
