@@ -8,7 +8,7 @@ from sitewise.functions import labels, loci
 from sitewise.operators import ids, profile, sets
 from sitewise.operators.staging import staging_path
 from sitewise.plans.book import query, r6, rs, sql
-from sitewise.plans.inputs import eval_long, locus, me_long, samples, sources
+from sitewise.plans.inputs import eval_long, locus, me_long, samples, sources, table
 from sitewise.schemas import CHROMOSOMES
 from sitewise.sources.writers import write_lookup
 
@@ -194,6 +194,39 @@ def clean_label(spark, d):
     return samples(spark, d).select("sample_name", labels.clean_label(raw).alias("label"))
 
 
+@query(
+    "name_parts",
+    r"""select page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) as label, string_split(url, '/')[4] as part,
+               list_last(string_split(url, '/')) as base, replace(coalesce(nullif(string_split(url, '#')[2], ''), 'Unknown'), 'top', 'first') as clean
+        from pages""",
+)
+def name_parts(spark, d):
+    """The label, a numbered part, the base name and a cleaned ending of names as they stand in a table."""
+    url = F.col("url")
+    ending = F.nullif(F.get(F.split(url, "#"), F.lit(1)), F.lit(""))
+    return table(spark, d, "pages").select(
+        "page_id",
+        labels.tissue_from_name(url, "://", "/").alias("label"),
+        labels.name_part(url, "/", 3).alias("part"),
+        labels.base_name(url).alias("base"),
+        F.replace(labels.clean_label(ending), F.lit("top"), F.lit("first")).alias("clean"),
+    )
+
+
+@query(
+    "parse_names",
+    """select c_name as name, string_split(c_name, '#')[1] as chr, cast(string_split(c_name, '#')[2] as bigint) as pos from customer
+       union all select s_name, string_split(s_name, '#')[1], cast(string_split(s_name, '#')[2] as bigint) from supplier
+       union all select p_brand, string_split(p_brand, '#')[1], cast(string_split(p_brand, '#')[2] as bigint) from part""",
+)
+def parse_names(spark, d):
+    """Locus keys cut into name and number, from names that the tables hold; `#` stands for the usual mark."""
+    columns = {"customer": "c_name", "supplier": "s_name", "part": "p_brand"}
+    names = [table(spark, d, t).select(F.col(c).alias("name")) for t, c in columns.items()]
+    rows = names[0].unionByName(names[1]).unionByName(names[2]).withColumn("_key", F.translate("name", "#", "_"))
+    return rows.select("name", loci.locus_chr("_key").alias("chr"), loci.locus_pos("_key").alias("pos"))
+
+
 @query(
     "subject_key",
     sql(

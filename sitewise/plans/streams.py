@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.loci import chr_index
 from sitewise.functions.numeric import safe_corr, value_bin
+from sitewise.operators.reshape import assign_shards
 from sitewise.operators.staging import staging_path
 from sitewise.plans.book import query, r6, rs, sql
 from sitewise.plans.inputs import corr_sql, locus, table
@@ -15,6 +16,9 @@ from sitewise.streaming import epochs, flows
 from sitewise.streaming.moments import MomentTable, scores
 
 
+_SHARDS = 12
+
+
 def _stream(spark, d, name: str):
     """One table as a stream of shards, be it a single file or a folder of files."""
     either = f"{d}/{name}.parque[t]"  # a pattern, as a stream takes no plain file name
@@ -59,13 +63,26 @@ def stream_dedupe(spark, d):
     return _drain(spark, flows.drop_repeats(pairs, ["l_partkey", "l_suppkey"]))
 
 
-@query("stream_dedupe_timed", "select distinct user_id, event_type, event_id from events")
+@query("stream_dedupe_timed", "select user_id, event_type, event_id from events")
 def stream_dedupe_timed(spark, d):
-    """Keys are forgotten an hour after their event time."""
+    """Shards in order of time, each with the last rows of the one before again; keys are forgotten after an hour."""
     flows.use_disk_state(spark)
-    events = _stream(spark, d, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    kept = flows.drop_repeats(events, ["user_id", "event_type", "event_id"], "ts", "1 hour")
-    return _drain(spark, kept).drop("ts")
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    size = -(-events.count() // _SHARDS) or 1
+    placed = assign_shards(events, ["ts", "event_id"], size)
+    border = placed.groupBy("shard").agg(F.max("ts").alias("_last"))
+    again = placed.join(border, "shard").where(F.col("ts") >= F.col("_last") - F.expr("interval 30 minutes")).drop("_last")
+    path = staging_path(spark, "padded")
+    whole = placed.unionByName(again.withColumn("shard", F.col("shard") + 1))
+    whole.repartition("shard").sortWithinPartitions("shard", "ts").write.partitionBy("shard").parquet(path)
+    out, state = staging_path(spark, "stream"), staging_path(spark, "state")
+    columns = "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz"
+    stream = epochs.read_epochs(spark, path, state, columns, shards_per_batch=4)
+    timed = stream.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    run = epochs.append_epochs(flows.drop_repeats(timed, ["event_id"], "ts", "1 hour"), out, state)
+    run.processAllAvailable()
+    run.stop()
+    return spark.read.schema(timed.schema).parquet(out).select("user_id", "event_type", "event_id")
 
 
 _ERR = "(l_tax - l_discount)"
@@ -108,9 +125,6 @@ def stream_metrics(spark, d):
     return last.select("cpg_idx", "n", *[r6(c).alias(c) for c in ("pcc", "mse", "mae")])
 
 
-_SHARDS = 12
-
-
 def _shards_of(spark, d, name: str, key: str):
     """A table as numbered shards of neighbouring keys, so that a stream over it has several batches."""
     path = staging_path(spark, "shards")
@@ -145,7 +159,7 @@ _SEED, _EPOCHS = 9176, 2
 with numbered as (
   select event_id, event_type, row_number() over (order by event_id) - 1 as r, (select count(*) from events) as total from events),
 shards as (select *, r // ((total + {_SHARDS - 1}) // {_SHARDS}) as shard from numbered),
-names as (select row_number() over (order by name) - 1 as i, shard from (select distinct shard, 'shard=' || shard || '/' as name from shards)),
+names as (select distinct shard, shard as i from shards),
 turns as (
   select epoch, shard, row_number() over (partition by epoch order by sha256('{_SEED}:' || epoch || ':0:' || i)) as turn
   from names, range({_EPOCHS}) e(epoch)),

@@ -1,7 +1,7 @@
 """Shards of a folder as a stream of epochs: seeded order, a set number of rows, resumable anywhere.
 
 `spark.readStream.format("epochs")` goes over the parquet files of a folder. Each epoch has its own order of
-shards, drawn from the seed, and ends after `rows_per_epoch` rows: the last shard is cut there, and an epoch
+shards, drawn from the seed (without one they come as listed), and ends after `rows_per_epoch` rows: the last shard is cut there, and an epoch
 that asks for more rows than there are begins another pass in a new order. Without that option an epoch is
 one pass. The offset is (epoch, shards taken, rows taken), so a query goes on in the middle of an epoch, and
 a batch that runs again brings the same rows. Rows carry `epoch` and `place`, their number in the epoch.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,17 +35,20 @@ def _open(path: str):
 
 
 def list_shards(path: str) -> list[str]:
-    """Parquet files under a folder in the order of their paths."""
+    """Parquet files under a folder in the order of their paths, numbers in them taken as numbers."""
     from pyarrow import fs
 
     files, root = _open(path)
     found = files.get_file_info(fs.FileSelector(root, recursive=True))
     hidden = lambda p: any(part[:1] in "._" for part in p[len(root) :].strip("/").split("/"))
-    return sorted(f.path for f in found if f.is_file and f.path.endswith(".parquet") and not hidden(f.path))
+    natural = lambda p: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", p)]
+    return sorted((f.path for f in found if f.is_file and f.path.endswith(".parquet") and not hidden(f.path)), key=natural)
 
 
-def shard_order(seed: int, epoch: int, round_no: int, shards: int) -> list[int]:
-    """The order in which a pass of an epoch takes the shards; the same for the same seed everywhere."""
+def shard_order(seed: int | None, epoch: int, round_no: int, shards: int) -> list[int]:
+    """The order in which a pass of an epoch takes the shards; the same for the same seed everywhere, as listed without one."""
+    if seed is None:
+        return list(range(shards))
     return sorted(range(shards), key=lambda i: hashlib.sha256(f"{seed}:{epoch}:{round_no}:{i}".encode()).hexdigest())
 
 
@@ -56,7 +60,8 @@ class ShardPart(InputPartition):
 class EpochReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str], schema: StructType):
         self.path, self.schema = options["path"], schema
-        self.seed, self.epochs = int(options.get("seed", "0")), int(options.get("epochs", "1"))
+        self.seed = int(options["seed"]) if "seed" in options else None
+        self.epochs = int(options.get("epochs", "1"))
         limit = options.get("rows_per_epoch")
         self.limit = int(limit) if limit else None
         self.per_batch = int(options.get("shards_per_batch", "64"))
@@ -156,14 +161,15 @@ class EpochSource(DataSource):
 
 
 def read_epochs(
-    spark: SparkSession, path: str, checkpoint: str, schema: str, seed: int = 0, epochs: int = 1,
+    spark: SparkSession, path: str, checkpoint: str, schema: str, seed: int | None = None, epochs: int = 1,
     rows_per_epoch: int | None = None, shards_per_batch: int = 64,
 ) -> DataFrame:
     """A stream of epochs over the shards of a folder; `checkpoint` is that of the query that will read it."""
     spark.dataSource.register(EpochSource)
     reader = spark.readStream.format("epochs").option("path", path).option("checkpoint", checkpoint).option("schema", schema)
-    reader = reader.option("seed", seed).option("epochs", epochs).option("shards_per_batch", shards_per_batch)
-    return (reader if rows_per_epoch is None else reader.option("rows_per_epoch", rows_per_epoch)).load()
+    reader = reader.option("epochs", epochs).option("shards_per_batch", shards_per_batch)
+    given = {"seed": seed, "rows_per_epoch": rows_per_epoch}
+    return reader.options(**{k: v for k, v in given.items() if v is not None}).load()
 
 
 def append_epochs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

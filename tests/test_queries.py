@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from sitewise.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents"
+TABLES = "region nation customer supplier part orders lineitem events documents pages"
 
 
 def plain(v):
