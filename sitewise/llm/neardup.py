@@ -7,19 +7,23 @@ place j is filled by round j alone, so filling is certain, and the share of equa
 about the similarity as sharply as with independent minima. Bands of `ROWS` places give bucket keys:
 a pair at similarity 0.8 shares no bucket with probability (1 - 0.8 ** 6) ** 48, below 5 in 10 million.
 
-Equal sets form a class with one representative, so exact copies cost one row each. Members of a
-bucket are never paired with each other. First each class is compared with the smallest class that it
-meets in any bucket, and links join components. Classes that have too many shingles alone to be linked
-with any other leave the buckets. Then, only for buckets that still hold more than one
-component, leaders (from the smallest components first) are compared with all members outside their
-component and leave the bucket; sixteen times as many each round. A pair is compared only in the first
-band that it shares. When no bucket is left, every pair of a bucket is either in one component or has
-been compared. Links are confirmed on the full sets.
+Equal sets form a class with one representative, so exact copies cost one row each. Every pair that shares a
+bucket is decided on its full sets, yet never paired inside the bucket:
+
+1. Each class is compared with the smallest class that it meets in any bucket, and links join components.
+2. Classes that have too many shingles alone to be linked with any other leave the buckets.
+3. In buckets that still hold several components the class that meets most others is the pivot, and each
+   member is compared with it. What a member keeps is its difference D from the pivot's set. Two members are
+   linked if |D_a xor D_b| <= (|a| + |b|) / 9, the same as 80 % in common. If |D_a| + |D_b| is not above
+   that, both are linked with the pivot already. Otherwise their differences must share so many shingles that they
+   meet early in an order of the rarest first; only such pairs are listed, by the place of the shared
+   shingle in both, and then decided.
 
 Edge cases: a null or empty text has no shingle and is linked with nothing; fewer words than a shingle has are
-one shingle; rows with equal ids are one document; rows with a null id take the component of equal
-rows that have an id, else none, and are kept then; an empty table gives an empty result; further
-columns are ignored by `near_duplicates` and kept by `keep_first`.
+one shingle. Every row is a document of its own: rows of one id and one text are copies, of one id and
+different texts two documents with that id. The id of a component is the smallest id of its rows, null if no
+row has one. An empty table gives an empty result; further columns are ignored by `near_duplicates` and kept
+by `keep_first`.
 """
 
 from __future__ import annotations
@@ -29,11 +33,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sitewise.llm.common import null_safe_join
+from sitewise.llm.common import null_safe_join, word_count
 from sitewise.llm.graph import components
 from sitewise.llm.textstats import number_words
 from sitewise.operators.staging import write_and_read
@@ -44,8 +47,8 @@ ROWS, BANDS = 6, 48
 COORDINATES = ROWS * BANDS
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Leaders that a bucket compares in the first exact round.
-FIRST_LEADERS = 64
+#: Bits of the map of keys that keeps other texts from being moved.
+MAP_BITS = 24
 #: Hashes of one vectorised block of rounds.
 BLOCK = 4096
 
@@ -112,18 +115,19 @@ def band_keys(places: np.ndarray) -> np.ndarray:
 def _sketch_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    names = ["doc_id", "n_shingles", "digest", "bands"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+    names = ["doc_id", "text_key", "n_shingles", "digest", "bands"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64())]
     for whole in batches:
         for start in range(0, whole.num_rows, 256):
             batch = whole.slice(start, 256)
             sizes, digests, bands = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 elements = shingle_set(text or "", shingle)
                 sizes.append(len(elements))
                 digests.append(xxhash.xxh3_128_hexdigest(elements.tobytes()) if len(elements) else None)
                 bands.append(band_keys(sketch(elements)).tolist() if len(elements) else None)
-            columns = [batch.column(0), pa.array(sizes, kinds[1]), pa.array(digests, kinds[2]), pa.array(bands, kinds[3])]
+            made = [pa.array(c, k) for c, k in zip((sizes, digests, bands), kinds[2:], strict=True)]
+            columns = [batch.column(0), batch.column(1), *made]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -154,10 +158,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify, "u long, v long")
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def _similar_size(n: str, m: str):
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
@@ -179,39 +179,146 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _linkable(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Entries with `core`, the shingles that another class of the entries has as well.
+    """Entries of classes that have enough shingles in common with other classes of the entries.
 
-    What a class has alone it shares with nobody, so a class with less than PERCENT of its shingles in
-    its core can't be linked with any other and goes; copies with many edits of their own are spared
-    a comparison with every member of their bucket.
+    What a class has alone it shares with nobody, so a class with more than the rest of PERCENT of its
+    shingles alone can't be linked with any other and goes.
     """
-    entries = write_and_read(entries.select("key", "band", "cls", "n"), "entries")
+    entries = write_and_read(entries.select("key", "cls", "n"), "entries")
     shingles = sets.join(entries.select("cls"), "cls", "left_semi").select("cls", F.explode("elements").alias("e"))
     alone = shingles.groupBy("e").agg(F.count("*").alias("_n"), F.min("cls").alias("cls")).where("_n = 1")
     alone = alone.groupBy("cls").agg(F.count("*").alias("_alone"))
-    entries = entries.join(alone, "cls", "left").withColumn("core", F.col("n") - F.coalesce("_alone", F.lit(0)))
-    return entries.where(100 * F.col("core") >= PERCENT * F.col("n")).drop("_alone")
+    core = F.col("n") - F.coalesce("_alone", F.lit(0))
+    return entries.join(alone, "cls", "left").where(100 * core >= PERCENT * F.col("n")).drop("_alone")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set)."""
-    rows = write_and_read(
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            partial(_sketch_rows, shingle=shingle), "doc_id long, n_shingles long, digest string, bands array<long>"
-        ),
-        "sketches",
-    )
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("cls"))
-    # A representative's row is found by its id; equal sets have equal bands, so any row of it serves.
-    heads = classes.where("cls is not null").join(
-        rows.select("digest", F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "bands"), ["digest", "cls"]
-    )
-    entries = heads.select("cls", "n", F.posexplode("bands").alias("band", "key"))
-    shared = entries.groupBy("key").agg(F.min("cls").alias("_l"), F.max("cls").alias("_h")).where("_l <> _h").select("key")
-    buckets = write_and_read(entries.join(shared, "key").distinct(), "buckets")
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own, other = batch.column("own"), batch.column("other")
+        diff = [np.setxor1d(own[i].values.to_numpy(), other[i].values.to_numpy(), assume_unique=True) for i in range(batch.num_rows)]
+        columns = [batch.column("pivot"), batch.column("cls"), batch.column("n"), batch.column("pivot_n"), pa.array(diff, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["pivot", "cls", "n", "pivot_n", "d"])
+
+
+def _differences(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, cls, n, pivot_n, d) for the members of each bucket; buckets with one pivot make one group.
+
+    The pivot of a bucket is the class with the most fellows in all its buckets, so neighbouring buckets
+    mostly agree on it.
+    """
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("_s"))
+    scores = buckets.join(sizes, "key").groupBy("cls").agg(F.sum("_s").alias("_score"))
+    first = F.max(F.struct("_score", (-F.col("cls")).alias("_c"), "n"))
+    pivots = buckets.join(scores, "cls").groupBy("key").agg(first.alias("_p"))
+    pivots = pivots.select("key", (-F.col("_p._c")).alias("pivot"), F.col("_p.n").alias("pivot_n"))
+    members = buckets.join(pivots, "key").where("cls <> pivot").select("pivot", "pivot_n", "cls", "n").distinct()
+    own = sets.select("cls", F.col("elements").alias("own"))
+    other = sets.select(F.col("cls").alias("pivot"), F.col("elements").alias("other"))
+    whole = members.join(own, "cls").join(other, "pivot").select("pivot", "cls", "n", "pivot_n", "own", "other")
+    return write_and_read(whole.mapInArrow(_difference, "pivot long, cls long, n long, pivot_n long, d array<long>"), "differences")
+
+
+def _meeting(groups: DataFrame) -> DataFrame:
+    """Pairs (pivot, a, b) of members, of different components, whose differences may share enough shingles.
+
+    A pair needs `(9 |D_a| - |a| + 9 |D_b| - |b|) / 18` common ones. Shingles of a group are ordered by how
+    many members have them; the first common one of a pair leaves at most what follows it in each.
+    """
+    shingles = groups.select("pivot", "cls", F.explode("d").alias("e"))
+    common = shingles.groupBy("pivot", "e").agg(F.count("*").alias("f")).where("f > 1")
+    listed = shingles.join(common, ["pivot", "e"]).groupBy("pivot", "cls").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("l"))
+    need = (9 * F.size("d") - F.col("n")).alias("need")
+    placed = groups.select("pivot", "cls", "comp", need).join(listed, ["pivot", "cls"])
+    placed = placed.select("pivot", "cls", "comp", "need", F.size("l").alias("c"), F.posexplode("l.e").alias("at", "e"))
+    placed = write_and_read(placed.withColumn("left", F.col("c") - F.col("at")).drop("c", "at"), "placed")
+    a, b = placed.alias("a"), placed.alias("b")
+    enough = 18 * F.least("a.left", "b.left") >= F.col("a.need") + F.col("b.need")
+    same = (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.e") == F.col("b.e"))
+    met = a.join(b, same & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")) & enough)
+    return met.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).agg(F.min("a.pivot").alias("pivot"))
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = batch.column("d_a"), batch.column("d_b")
+        total = batch.column("total").to_pylist()
+        keep = [
+            9 * len(np.setxor1d(left[i].values.to_numpy(), right[i].values.to_numpy(), assume_unique=True)) <= total[i]
+            for i in range(batch.num_rows)
+        ]
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["u", "v"])
+
+
+def _links_by_difference(differences: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between members of groups that hold several components."""
+    placed = differences.join(labels, "cls")
+    several = placed.groupBy("pivot").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("pivot")
+    groups = write_and_read(placed.join(several, "pivot"), "groups")
+    sides = [groups.select("pivot", F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("d").alias(f"d_{s}")) for s in ("a", "b")]
+    pairs = _meeting(groups).join(sides[0], ["pivot", "a"]).join(sides[1], ["pivot", "b"])
+    pairs = pairs.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "d_a", "d_b")
+    return write_and_read(pairs.mapInArrow(_decide, "u long, v long"), "links")
+
+
+def text_key() -> Column:
+    """The text of a row as a key; rows of one id and one key are copies of each other."""
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1 << MAP_BITS))
 
+
+def _packed(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(_row, doc_id, text_key, _in): the rows of `docs` as structs, and whether `keys` may hold their key.
+
+    The keys become a map of 2 ** `MAP_BITS` bits, in words of 64, which bounds the table that is broadcast.
+    With very many keys it lets all rows pass.
+    """
+    word, bit = F.shiftright("_slot", 6).alias("_word"), F.expr("shiftleft(1L, cast(_slot % 64 as int))").alias("_bit")
+    bits = keys.select(_slot().alias("_slot")).select(word, bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))
+    rows = rows.withColumn("_slot", _slot()).withColumn("_word", F.shiftright("_slot", 6))
+    found = rows.join(F.broadcast(write_and_read(bits, "bits")), "_word", "left")
+    inside = F.coalesce(F.getbit("_bits", (F.col("_slot") % 64).cast("int")) == 1, F.lit(False))
+    return found.select("_row", "doc_id", "text_key", inside.alias("_in"))
+
+
+def _one_row_each(packed: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of `packed` for each row of `keys` (doc_id, text_key, many, and others): `_row` and the others.
+
+    Only keys that are marked as `many` are reduced; the rows of all others pass the join alone.
+    """
+    found = null_safe_join(packed.select("_row", "doc_id", "text_key"), keys, ["doc_id", "text_key"])
+    rest = [c for c in keys.columns if c not in ("doc_id", "text_key", "many")]
+    repeated = found.where("many").groupBy("doc_id", "text_key").agg(F.first("_row").alias("_row"), *[F.first(c).alias(c) for c in rest])
+    return found.where("not many").select("_row", *rest).unionByName(repeated.select("_row", *rest))
+
+
+def _components(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (row, doc_id, text_key, n_shingles, digest), classes (digest, cls, class_id), labels (cls, comp).
+
+    Rows are numbered as they are written; a class is known by its first row. Only classes that share a
+    bucket with another have a label.
+    """
+    slim = docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
+    kinds = "doc_id long, text_key string, n_shingles long, digest string, bands array<long>"
+    made = slim.mapInArrow(partial(_sketch_rows, shingle=shingle), kinds)
+    rows = write_and_read(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("cls"), F.min("doc_id").alias("class_id"))
+    classes = write_and_read(classes, "classes")
+    heads = rows.join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
+    entries = heads.select(F.col("row").alias("cls"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("cls").alias("_l"), F.max("cls").alias("_h")).where("_l <> _h").select("key")
+    buckets = write_and_read(entries.join(shared, "key"), "buckets")
     labels = write_and_read(buckets.select("cls", F.col("cls").alias("comp")).distinct(), "labels")
-    texts = docs.select(F.col("doc_id").cast("long").alias("cls"), "text").join(labels.select("cls"), "cls")
+
+    keys = heads.join(labels.select(F.col("cls").alias("row")), "row", "left_semi").select("doc_id", "text_key", F.col("row").alias("cls"))
+    copies = rows.groupBy("doc_id", "text_key").agg((F.count("*") > 1).alias("many")).where("many")
+    keys = null_safe_join(keys, copies, ["doc_id", "text_key"], "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    keys = write_and_read(keys, "keys")
+    texts = _one_row_each(_packed(docs, keys).where("_in"), keys).select("cls", "_row.text")
     sets = write_and_read(texts.mapInArrow(partial(_set_rows, shingle=shingle), "cls long, elements array<long>"), "sets")
 
     # Each class against the smallest class of its buckets.
@@ -221,57 +328,45 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     labels = _relabel(labels, write_and_read(confirmed(pairs, sets), "links"))
 
     buckets = write_and_read(_linkable(_open(buckets, labels), sets), "buckets")
-
-    # Short band marks, by which a pair is compared only in the first band that it shares.
-    marks = heads.join(buckets.select("cls").distinct(), "cls", "left_semi")
-    short = F.first(F.transform("bands", lambda k: F.hash(k)))  # an id with several sets has no marks
-    marks = write_and_read(marks.select("cls", "bands").distinct().groupBy("cls").agg(F.when(F.count("*") == 1, short).alias("marks")), "marks")
-    leaders = FIRST_LEADERS
-    while True:
-        placed = write_and_read(_open(buckets, labels), "open")
-        if placed.isEmpty():
-            break
-        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("_size"))
-        order = Window.partitionBy("key").orderBy("_size", "comp", "cls")
-        chosen = placed.join(sizes, ["key", "comp"]).withColumn("_nth", F.row_number().over(order)).where(f"_nth <= {leaders}")
-        chosen = write_and_read(
-            chosen.select(
-                "key", F.col("cls").alias("lead"), F.col("n").alias("lead_n"), F.col("core").alias("lead_core"),
-                F.col("comp").alias("lead_comp"),
-            ),
-            "leaders",
-        )
-        led = chosen.join(marks.select(F.col("cls").alias("lead"), F.col("marks").alias("lead_marks")), "lead")
-        earlier = F.arrays_zip(F.slice("marks", F.lit(1), F.col("band")), F.slice("lead_marks", F.lit(1), F.col("band")))
-        most = F.least("core", "lead_core")  # shingles that both can have
-        met = placed.join(marks, "cls").join(
-            led.withColumnRenamed("key", "lead_key"),
-            (F.col("key") == F.col("lead_key"))
-            & (F.col("comp") != F.col("lead_comp"))
-            & (100 * most >= PERCENT * (F.col("n") + F.col("lead_n") - most))
-            & ~F.coalesce(F.exists(earlier, lambda x: x["0"] == x["1"]), F.lit(False)),
-        )
-        pairs = met.select(*_ordered("cls", "lead")).distinct()
-        links = write_and_read(confirmed(pairs, sets), "links")
-        spent = chosen.select("key", F.col("lead").alias("cls"))
-        buckets = write_and_read(placed.select("key", "band", "cls", "n", "core").join(spent, ["key", "cls"], "left_anti"), "buckets")
+    if not buckets.isEmpty():
+        differences = _differences(buckets, sets)
+        near = differences.where(9 * F.size("d") <= F.col("n") + F.col("pivot_n"))
+        labels = _relabel(labels, near.select(F.col("cls").alias("u"), F.col("pivot").alias("v")))
+        links = _links_by_difference(differences, labels)
         if not links.isEmpty():
             labels = _relabel(labels, links)
-        leaders *= 16
+    return rows.drop("bands"), classes, labels
+
 
-    slim = rows.select("doc_id", "n_shingles", "digest")
-    found = null_safe_join(slim, classes, ["digest"], "left").join(labels, "cls", "left")
-    component = F.coalesce("comp", "cls", "doc_id")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set)."""
+    rows, classes, labels = _components(docs, shingle)
+    named = labels.join(classes.select("cls", "class_id"), "cls")
+    ids = named.groupBy("comp").agg(F.min("class_id").alias("component"))
+    per_class = labels.join(ids, "comp").select("cls", "component", F.lit(True).alias("labelled"))
+    found = rows.join(classes, "digest", "left").join(per_class, "cls", "left")
+    component = F.when(F.col("labelled"), F.col("component")).otherwise(F.coalesce("class_id", "doc_id"))
     return found.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
-        F.coalesce("cls", "doc_id").alias("class_id"),
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.coalesce("class_id", "doc_id").alias("class_id"),
     )
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of `docs` that stay: one document of each component, once."""
-    kept = near_duplicates(docs, shingle).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    one = Window.partitionBy("doc_id").orderBy("text")
-    with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return with_id.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth").unionByName(docs.where("doc_id is null"))
+    """The rows of `docs` that stay: one of each component, and all without words.
+
+    The one with the smallest id stays, of one id the smallest text key; a row without an id stays only
+    where no row of its component has one.
+    """
+    rows, classes, labels = _components(docs, shingle)
+    found = rows.join(classes.select("digest", "cls"), "digest").join(labels, "cls", "left")
+    order = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "text_key")
+    stay = found.groupBy(F.coalesce("comp", "cls").alias("root")).agg(F.min(order).alias("k"))
+    stay = stay.select("k.doc_id", "k.text_key", F.lit(True).alias("stays"))
+    keys = found.groupBy("doc_id", "text_key").agg((F.count("*") > 1).alias("many"))
+    keys = write_and_read(null_safe_join(keys, stay, ["doc_id", "text_key"], "left"), "keys")
+    # Only rows that go, or stand for several, can meet a key here; all others pass where they lie.
+    packed = _packed(docs, keys.where("stays is null or many"))
+    alone = ~F.col("_in") | (word_count(F.col("_row.text")) == 0)
+    some = _one_row_each(packed.where(~alone), keys.where("stays").drop("stays"))
+    return packed.where(alone).select("_row.*").unionByName(some.select("_row.*"))

@@ -103,13 +103,13 @@ def test_rare_language_in_rare_script_is_judged(spark):
 # Near-duplicates ---------------------------------------------------------------
 
 
-def shingles(text):
+def shingles(text, size=4):
     w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
 
 
-def brute_components(docs):
-    sets = {i: shingles(t) for i, t in docs}
+def brute_components(docs, size=4):
+    sets = {i: shingles(t, size) for i, t in docs}
     root = {i: i for i in sets}
 
     def find(x):
