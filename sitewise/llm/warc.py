@@ -149,6 +149,20 @@ def write_archives(
     writer.option("compression", compression).text(path)
 
 
+def inflated(data: bytes, step: int = 1 << 16) -> bytes:
+    """All gzip members of a file as one text: archives have one member a record, or one for all. Padding may follow."""
+    view, at, parts = memoryview(data), 0, []
+    while at < len(data) and data[at]:
+        member = zlib.decompressobj(47)
+        while not member.eof and at < len(data):
+            piece = view[at : at + step]
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        if not member.eof:
+            raise ValueError("an archive ends inside a compressed record")
+    return b"".join(parts)
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields, block) of every record of a file; field names in lower case."""
     at = 0
@@ -216,7 +230,7 @@ def parse_files(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 data = content.as_py()
                 if data[:2] == b"\x1f\x8b":
-                    data = zlib.decompress(data, 47)
+                    data = inflated(data)
                 rows = [_parsed_row(f, b) for f, b in parse_records(data)]
                 for start in range(0, len(rows), 512):
                     yield pa.RecordBatch.from_pylist(rows[start : start + 512], schema=schema)
