@@ -49,7 +49,7 @@ def test_pipeline_stages(spark):
     assert all(kept[i] == original[i] for i in kept)
     long_enough = {i for i in good if len((original[i] or "").split()) >= 20}
     assert len(long_enough - set(kept)) <= 0.03 * len(long_enough)
-    want, _ = brute_components(texts["quality_rules"])
+    want, _ = brute_components(texts["quality_rules"], size=5)
     assert sorted(i for i, _ in texts["near_dedup"]) == sorted(set(want.values()))
     repeats = brute_repeats(texts["near_dedup"])
     for i, text in texts["suffix_dedup"]:
