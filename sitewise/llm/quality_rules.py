@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from sitewise.llm.common import null_safe_join
 from sitewise.llm.rows import append_struct
 from sitewise.llm.textstats import base_counts
-from sitewise.operators.staging import staging_path
+from sitewise.operators.staging import staging_path, write_and_read
 
 TOKENIZERS = "/opt/tokenizers"
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,9 @@ BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 #: Distinct words whose tokens a worker remembers; beyond that it starts anew.
 WORDS_KEPT = 400_000
 
+#: Groups whose bands are broadcast; bands of more groups are joined over this many salts.
+MOST_BANDS, SALTS = 10_000, 16
+
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Texts below so many tokens don't shape a band.
@@ -273,23 +276,38 @@ def bands(judged: DataFrame) -> DataFrame:
     return q.groupBy(F.col("grp").alias("_group")).agg(*sides)
 
 
+def with_bands(rows: DataFrame, own: DataFrame, most: int = MOST_BANDS, salts: int = SALTS) -> DataFrame:
+    """`rows` with the bands of their group; the texts stay in the files they lie in.
+
+    The bands are written and counted: up to `most` groups are broadcast. More are joined over salted keys,
+    so that the rows of a common language are dealt to `salts` tasks at least.
+    """
+    own = write_and_read(own, "bands")
+    if own.count() <= most:
+        return null_safe_join(rows, F.broadcast(own), ["_group"], "left")
+    salt = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_m"), F.lit(salts)).cast("int"))
+    return null_safe_join(salted, own.withColumn("_salt", salt), ["_group", "_salt"], "left").drop("_salt")
+
+
 def measured(docs: DataFrame, folder: str = TOKENIZERS, text: bool = True) -> DataFrame:
-    """`docs` with the struct column `_m`, written once; without `text` that column is left out."""
-    out = append_struct(docs, "_m", SCHEMA, lambda: measure_texts(folder))
+    """(_row, _m): the rows of `docs` as a struct and their measures, written once; `text` False leaves the text out."""
+    packed = docs.select(F.struct(*docs.columns).alias("_row"))
+    out = append_struct(packed, "_m", SCHEMA, lambda: measure_texts(folder), text="_row.text")
     if not text:
-        out = out.drop("text")
+        out = out.withColumn("_row", F.col("_row").dropFields("text"))
     path = staging_path(docs.sparkSession, "measured")
     out.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
-def judge(docs: DataFrame, folder: str = TOKENIZERS, text: bool = True) -> DataFrame:
-    """`docs` with the struct columns `_m` (measures) and `_v` (base_failed, kept, failed_rule)."""
+def judged_rows(docs: DataFrame, folder: str = TOKENIZERS, text: bool = True) -> DataFrame:
+    """(_row, _m, _v): the rows of `docs` as a struct, their measures, and base_failed, kept and failed_rule."""
     rows = measured(docs, folder, text).withColumn("_script", F.col("_m.script"))
-    lang = F.nullif(F.lower("lang"), F.lit(""))
+    lang = F.nullif(F.lower(F.col("_row.lang")), F.lit(""))
     rows = rows.withColumn("_group", F.coalesce(lang, F.concat(F.lit("script "), "_script")))
     own = bands(rows.where(F.col("_m.n_tokens") >= MIN_TOKENS).select("_group", "_script", "_m.*"))
-    rows = null_safe_join(rows, own, ["_group"], "left").withColumn("_ref", _reference(F.col("_group"), F.col("_script")))
+    rows = with_bands(rows, own).withColumn("_ref", _reference(F.col("_group"), F.col("_script")))
 
     m = F.col("_m")
     base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
@@ -300,9 +318,15 @@ def judge(docs: DataFrame, folder: str = TOKENIZERS, text: bool = True) -> DataF
         middle, half = (F.coalesce(f"_{name}_{s}", c) for s, c in zip(("middle", "half"), alone, strict=True))
         failed = failed.when(_outside(name, m[name], m["n_tokens"], middle, half), F.lit(name))
     verdict = F.struct(base.alias("base_failed"), failed.isNull().alias("kept"), failed.alias("failed_rule"))
-    return rows.withColumn("_v", verdict).drop(*[c for c in own.columns if c != "_group"], "_group", "_script", "_ref")
+    return rows.select("_row", "_m", verdict.alias("_v"))
+
+
+def judge(docs: DataFrame, folder: str = TOKENIZERS, text: bool = True) -> DataFrame:
+    """`docs` with the struct columns `_m` (measures) and `_v` (verdict), which replace columns of these names."""
+    kept = [f"_row.`{c}`" for c in docs.columns if c not in ("_m", "_v") and (text or c != "text")]
+    return judged_rows(docs, folder, text).select(*kept, "_m", "_v")
 
 
 def keep_good(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """The rows of `docs` that pass, with their columns."""
-    return judge(docs, folder).where("_v.kept").select(*docs.columns)
+    return judged_rows(docs, folder).where("_v.kept").select("_row.*")

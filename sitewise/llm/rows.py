@@ -18,7 +18,7 @@ def append_struct(
 ) -> DataFrame:
     """`df` with a struct column computed from the texts; every other column passes through.
 
-    `make` runs once per task and returns a function from texts (str or None) to one dict per text.
+    `text` names the column of the texts, or a field of a struct column as `column.field`. `make` runs once per task and returns a function from texts (str or None) to one dict per text.
     """
     out_schema = StructType([*[f for f in df.schema.fields if f.name != name], StructField(name, schema)])
     kept = [f.name for f in out_schema.fields[:-1]]
@@ -29,7 +29,9 @@ def append_struct(
         for whole in batches:
             for start in range(0, whole.num_rows, TEXTS_PER_CALL):
                 batch = whole.slice(start, TEXTS_PER_CALL)
-                made = pa.array(measure(batch.column(text).to_pylist()), type=arrow)
+                column, _, field = text.partition(".")
+                texts = batch.column(column).field(field) if field else batch.column(column)
+                made = pa.array(measure(texts.to_pylist()), type=arrow)
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], made], [*kept, name])
 
     return df.mapInArrow(run, out_schema)
