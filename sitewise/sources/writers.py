@@ -19,9 +19,11 @@ def write_shards(df: DataFrame, path: str, rows_per_file: int, mode: str = "fail
 def write_equal_shards(df: DataFrame, path: str, order: list[str], rows_per_file: int, mode: str = "fail"):
     """Files of exactly `rows_per_file` rows in the given order, the last with the rest.
 
-    Rows get the number of their shard, and a shard is written by one task as `shard=<number>`.
+    Rows get the number of their shard, and a shard is written by one task as `shard=<number>`. The task
+    sorts it once more, as the rows of a shard may come out of several tasks in any order.
     """
-    placed = assign_shards(df, order, rows_per_file).repartition("shard")
+    placed = assign_shards(df, order, rows_per_file, place="_place").repartition("shard")
+    placed = placed.sortWithinPartitions("shard", "_place").drop("_place")
     placed.write.mode(MODES[mode]).partitionBy("shard").parquet(path)
 
 

@@ -50,6 +50,22 @@ def test_equal_shards(spark, tmp_path):
     assert sorted(r["count"] for r in files) == [5] + [100] * 10 and len({r["shard"] for r in files}) == 11
 
 
+def test_a_shard_out_of_several_tasks_is_in_order(spark, tmp_path):
+    """Later rows are longer, so their files are larger and are read first; a shard lies in several of them."""
+    confs = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "100000"}
+    before = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(8000).withColumn("pad", F.repeat(F.md5(F.col("id").cast("string")), (F.col("id") / 1000).cast("int") + 1))
+        writers.write_equal_shards(rows, str(tmp_path / "shards"), ["id"], 3000)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    read = spark.read.parquet(str(tmp_path / "shards")).select("shard", F.col("_metadata.row_index").alias("row"), "id")
+    assert read.where(F.col("shard") * 3000 + F.col("row") != F.col("id")).count() == 0 and read.count() == 8000
+
+
 def test_tab_separated_matrix(spark, tmp_path):
     (tmp_path / "ge.tsv").write_text("gene\ts1\ts2\nA;ENSG1\t1\t2.5\n")
     assert [tuple(r) for r in readers.read_matrix_csv(spark, str(tmp_path / "ge.tsv"), "\t").collect()] == [("A;ENSG1", 1.0, 2.5)]
