@@ -22,12 +22,17 @@ FIELDS = ("n", "mx", "my", "cxx", "cyy", "cxy", "sse", "sae")
 
 
 def batch_moments(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Moments of the rows that have both values, one row per key."""
+    """Moments of the rows that have both values, one row per key.
+
+    A constant is its own mean, to the last bit: a rounded one would differ from that of the next batch, and
+    a merge would see a spread where there is none.
+    """
     full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     error = F.col(x) - F.col(y)
     n = F.count("*").cast("double")
+    mean = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c))
     return full.groupBy(*keys).agg(
-        n.alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), (F.var_pop(x) * n).alias("cxx"), (F.var_pop(y) * n).alias("cyy"),
+        n.alias("n"), mean(x).alias("mx"), mean(y).alias("my"), (F.var_pop(x) * n).alias("cxx"), (F.var_pop(y) * n).alias("cyy"),
         (F.covar_pop(x, y) * n).alias("cxy"), F.sum(error * error).alias("sse"), F.sum(F.abs(error)).alias("sae"),
     )
 

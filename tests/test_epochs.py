@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from sitewise.streaming import epochs, flows
-from sitewise.streaming.moments import MomentTable, batch_moments, scores
+from sitewise.streaming.moments import MomentTable, batch_moments, merge, scores
 
 SIZES = [5, 1, 0, 9, 3, 7]
 
@@ -102,3 +102,13 @@ def test_moments_by_group_and_key(spark, tmp_path):
         assert r["n"] == len(part) and np.isclose(r["mse"], ((part["x"] - part["y"]) ** 2).mean())
         assert np.isclose(r["mae"], (part["x"] - part["y"]).abs().mean())
         assert np.isnan(r["pcc"]) if key[1] == 6 else abs(r["pcc"] - part["x"].corr(part["y"])) < 1e-6
+
+
+def test_a_constant_has_no_correlation_after_merges(spark):
+    """Three times 0.1 has a rounded mean above 0.1; a batch with one 0.1 more adds no spread."""
+    parts = [
+        batch_moments(spark.createDataFrame([(1, 0.1, y) for y in ys], "k long, x double, y double"), ["k"], "x", "y")
+        for ys in ([0.25, 0.5, 0.75], [1.5], [0.125] * 7)
+    ]
+    both = scores(merge(parts, ["k"]), ["k"]).collect()
+    assert [(r["n"], r["pcc"]) for r in both] == [(11, None)]
