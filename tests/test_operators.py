@@ -283,3 +283,20 @@ def test_staging_is_cleared(spark):
     staged = staging.write_and_read(spark.range(5).toDF("x"), "gone")
     assert staged.count() == 5
     assert staging.clear_staging(spark) >= 1
+
+
+def test_cohorts_meet_by_subject_and_site(spark):
+    """400 samples of one subject a side, 160,000 pairs: only cells of a common site are joined."""
+    rng = np.random.default_rng(4)
+    samples = spark.range(400).select(F.col("id").alias("sample_idx"), F.when(F.col("id") < 399, "s").otherwise("t").alias("subject_name"))
+    sides = [pd.DataFrame({"site": rng.permutation(3000)[:1600], "sample_idx": np.arange(1600) % 400, "v": rng.random(1600)}) for _ in "ab"]
+    a, b = (spark.createDataFrame(p) for p in sides)
+    subjects = np.where(np.arange(400) < 399, "s", "t")
+    want = sides[0].assign(u=subjects[sides[0]["sample_idx"]]).merge(sides[1].assign(u=subjects[sides[1]["sample_idx"]]), on=["u", "site"])
+    of_a, of_b = (samples.select("subject_name", F.col("sample_idx").alias(f"sample_idx_{n}")) for n in "ab")
+    assert cohort._shared_cells(a, of_a, b, of_b, "site", "v", "subject_name").count() == len(want)
+    mae = (want["v_x"] - want["v_y"]).abs().groupby([want["u"], want["sample_idx_x"], want["sample_idx_y"]]).mean().to_dict()
+    pairs = cohort.cohort_pairs(samples.withColumn("sample_name", F.lit("x")), samples.withColumn("sample_name", F.lit("y")))
+    for got in (cohort.subject_scores(a, samples, b, samples, "site", "v"), cohort.cohort_scores(a, b, pairs, "site", "v")):
+        found = {(r["subject_name"], r["sample_idx_a"], r["sample_idx_b"]): r["mae"] for r in got.collect()}
+        assert found.keys() == mae.keys() and all(abs(found[k] - mae[k]) < 1e-12 for k in mae)
