@@ -34,10 +34,12 @@ from pyspark.sql.window import Window
 from sitewise.llm.anchors import LENGTH, RunIndex, anchors, mix, window_hashes
 from sitewise.operators.staging import write_and_read
 
-#: Runs of a task that are compared with each other before they are sent on.
-CHUNK_RUNS = 1_000_000
-INDEX_BYTES = 3_000_000
-HOT_RUNS = 100_000
+#: Runs of a task that are compared with each other before they are sent on; about 150 bytes each while they are.
+CHUNK_RUNS = 300_000
+#: Bytes under one index; building it takes about 90 bytes for each. A group of one anchor is never cut, so
+#: `HOT_RUNS` stretches of at most 356 bytes, most under 170, bound it too.
+INDEX_BYTES = 800_000
+HOT_RUNS = 8_000
 NO_ID = -(2**63)
 #: Bits of the map of document ids that keeps texts without candidates from being moved.
 ID_MAP_BITS = 24

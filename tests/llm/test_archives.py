@@ -3,11 +3,14 @@
 import gzip
 import hashlib
 import random
+import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 
-from sitewise.llm import warc
+from sitewise.llm import suffix, warc
+from sitewise.llm.anchors import RunIndex
 
 
 def public_archive(pages, padding=b""):
@@ -42,3 +45,16 @@ def test_inflated(step):
     assert warc.inflated(gzip.compress(b"".join(parts)) + b"\0\0", step) == b"".join(parts)
     with pytest.raises((ValueError, zlib.error)):
         warc.inflated(data[:-3], step)
+
+
+def test_an_index_of_full_size_needs_little_memory():
+    """Six workers build one at the same time next to the heap of an executor of 3 GB."""
+    rng = np.random.default_rng(0)
+    for size in (suffix.INDEX_BYTES, suffix.HOT_RUNS * 150):
+        cut = [rng.integers(97, 110, 150, dtype=np.uint8).tobytes() for _ in range(size // 300)] * 2
+        tracemalloc.start()
+        index = RunIndex(cut)
+        again = index.repeats(np.arange(len(index.text), dtype=np.int64))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert again.sum() == len(cut) // 2 * 51 and peak < 150e6
