@@ -86,3 +86,12 @@ def test_written_fasta_reads_back(spark, tmp_path):
     fasta.write_fasta(spark.createDataFrame(contigs, "chr string, seq string").repartition(2), str(tmp_path / "out"), width=50)
     made = fasta.read_fasta_tiles(spark, str(tmp_path / "out"), 64, 10)
     assert sorted(tuple(r) for r in made.collect()) == tiles_of(contigs, 64, 10)
+
+
+def test_lines_get_their_places_without_a_shuffle(spark, tmp_path):
+    """The bases move once, when tiles gather their pieces; of the lines only sizes are shuffled before."""
+    contigs = [("a", "ACGT" * 40), ("b", "acg" * 333)]
+    fasta.write_fasta(spark.createDataFrame(contigs, "chr string, seq string").repartition(2), str(tmp_path / "out"))
+    placed, _ = fasta._placed(spark, str(tmp_path / "out"))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Scan text" in plan and "hashpartitioning" not in plan and "Window" not in plan
