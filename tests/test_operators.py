@@ -174,6 +174,25 @@ def test_one_vector_per_sample(spark):
     assert [r.s for r in reshape.without_vector(pairs, vectors, "s").collect()] == [3]
 
 
+def test_long_vectors_come_in_small_tasks(spark):
+    """No task makes more than twice the given bytes, however the pairs of the samples are dealt."""
+    n = reshape.RUN + 3
+    cells = spark.range(2 * n).selectExpr("id % 2 as s", "cast(id / 2 as bigint) as p", "cast(cast(id / 2 as bigint) % 10 as string) as v")
+    texts = reshape.sample_texts(cells, "s", "p", "v")
+    text = ",".join(str(p % 10) for p in range(n))
+    assert {r.s: r.vector for r in texts.collect()} == {0: text, 1: text}
+    pairs = spark.range(90).selectExpr("id as site", "case when id < 70 then 0 when id < 80 then 1 when id < 89 then 2 end as s")
+    got = reshape.attach_vectors(pairs, texts, "s", task_bytes=5 * len(text))
+    rows = got.select("site", "s", "vector", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.site for r in rows) == list(range(90))
+    assert all(r.vector == (text if r.site < 80 else None) and r.s == (0 if r.site < 70 else 1 if r.site < 80 else 2 if r.site < 89 else None) for r in rows)
+    tasks = pd.Series([r.task for r in rows if r.vector]).value_counts()
+    assert tasks.max() <= 10 and len(tasks) == 16
+    long = cells.select("s", "p", F.col("v").cast("double").alias("v"))
+    arrays = reshape.attach_vectors(pairs, reshape.sample_vectors(long, "s", "p", "v"), "s", task_bytes=1)
+    assert [list(r.vector) for r in arrays.where("site = 75").collect()] == [[float(p % 10) for p in range(n)]]
+
+
 def test_subset_prunes_and_hot_key_ranks(spark):
     df = spark.range(5000).withColumn("k", F.when(F.col("id") % 10 < 9, "hot").otherwise(F.col("id").cast("string")))
     small = splits.random_subset(df, 40, ["id"], 3)
