@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitewise.functions.loci import chr_index, in_chromosomes
 from sitewise.functions.sequence import center_crop, has_unknown_base
 from sitewise.operators.audits import key_differences
+from sitewise.operators.layout import dealt
 
 
 def assemble_sites(windows: DataFrame, islands: DataFrame, key: str = "cpg_idx") -> DataFrame:
@@ -44,18 +45,22 @@ def usable_sites(
     return kept.withColumn("sequence", F.col("_seq")).drop("_seq") if crop else kept.drop("_seq")
 
 
-def export_pairs(pairs: DataFrame, sites: DataFrame, samples: DataFrame, groups: DataFrame) -> DataFrame:
+def export_pairs(
+    pairs: DataFrame, sites: DataFrame, samples: DataFrame, groups: DataFrame, tasks: int | None = None
+) -> DataFrame:
     """Pairs with site annotation, tissue and split number.
 
     `pairs` carries (cpg_idx, sample_idx, methylation) and the columns `groups` numbers: split, or
-    source and split. Pairs stay slim until the last join, which brings in the site annotation.
+    source and split. `groups` is a list of a few names, so it is broadcast: dealt by split, all pairs would lie
+    in as many tasks as there are names. Pairs stay slim until the last join, which brings in the site
+    annotation. With `tasks` they meet the samples in that many tasks; the sites lie as the caller has dealt them.
     """
     labels = [c for c in groups.columns if c != "group_idx"]
     site_columns = [c for c in sites.columns if c not in ("cpg_idx", "chr", "pos", "chr_pos")]
     return (
-        pairs.join(groups, labels)
+        pairs.join(F.broadcast(groups), labels)
         .drop(*labels)
-        .join(samples.select("sample_idx", "tissue_idx"), "sample_idx")
+        .join(dealt(samples.select("sample_idx", "tissue_idx"), "sample_idx", tasks), "sample_idx")
         .join(sites.select("cpg_idx", *site_columns), "cpg_idx")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.numeric import floor_share, half_even_share
+from sitewise.operators.layout import dealt
 from sitewise.operators.ranking import hash_ranked
 
 
@@ -46,13 +47,17 @@ def hold_out_tissues(samples: DataFrame, n: int, seed: int, by: str = "tissue_na
     )
 
 
-def four_way(pairs: DataFrame, sites: DataFrame, samples: DataFrame) -> DataFrame:
-    """Label each (site, sample) pair with its split name; pairs of unused sites go."""
+def four_way(pairs: DataFrame, sites: DataFrame, samples: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Label each (site, sample) pair with its split name; pairs of unused sites go.
+
+    Sites come first: pairs dealt by site do not move for them and those of unused sites never move at all.
+    With `tasks` both joins deal the pairs to that many, whatever is broadcast.
+    """
     site_part = sites.where("split in ('train', 'val')").select("cpg_idx", F.col("split").alias("_site"))
     sample_part = samples.where("split in ('train', 'val')").select("sample_idx", F.col("split").alias("_sample"))
     return (
-        pairs.join(sample_part, "sample_idx")
-        .join(site_part, "cpg_idx")
+        pairs.join(dealt(site_part, "cpg_idx", tasks), "cpg_idx")
+        .join(dealt(sample_part, "sample_idx", tasks), "sample_idx")
         .withColumn(
             "split",
             F.concat(F.col("_site"), F.lit("_cpg-"), F.col("_sample"), F.lit("_sample")),

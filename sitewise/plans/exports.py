@@ -10,7 +10,7 @@ from sitewise.operators.staging import write_and_read
 from sitewise.operators.store import write_bucketed
 from sitewise.plans.annotations import island_tuples
 from sitewise.plans.book import query, r6, rs, sql
-from sitewise.plans.inputs import WINDOW, islands, locus, me_long, samples, table
+from sitewise.plans.inputs import WINDOW, islands, line_tasks, locus, me_long, samples, table
 from sitewise.plans.sequences import site_windows
 from sitewise.plans.splits import SPLIT_SQL, sample_split, site_split
 from sitewise.operators.splits import four_way
@@ -66,9 +66,9 @@ _CHR_NO = "case when chr = 'chrX' then 22 when chr = 'chrY' then 23 else cast(su
 ALL_CHR = [f"chr{i}" for i in range(1, 23)] + ["chrX", "chrY"]
 
 
-def _labelled(spark, d, sites):
+def _labelled(spark, d, sites, tasks):
     pairs = me_long(spark, d).where("methylation is not null")
-    return four_way(pairs, site_split(spark, d, sites), sample_split(spark, d))
+    return four_way(pairs, site_split(spark, d, sites), sample_split(spark, d), tasks)
 
 
 @query(
@@ -83,11 +83,16 @@ def _labelled(spark, d, sites):
     ),
 )
 def export_pairs(spark, d):
-    """Sites are written once, and the usable ones with their windows and labels once more by bucket."""
+    """Sites are written once, and the usable ones with their windows and labels once more by bucket.
+
+    Every join deals the pairs by their number of rows, and so do the buckets: a task sorts no more at any size.
+    """
     sites = write_and_read(locus(spark, d), "sites")
-    usable = write_bucketed(export.usable_sites(_assembled(spark, d, sites), ALL_CHR, crop=100), "cpg_idx")
+    n = line_tasks(spark, d)
+    usable = export.usable_sites(_assembled(spark, d, sites), ALL_CHR, crop=100)
+    store = write_bucketed(usable, "cpg_idx", max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     groups = export.group_table(spark, SPLIT_NAMES)
-    return export.export_pairs(_labelled(spark, d, sites), usable, _sample_ids(spark, d), groups)
+    return export.export_pairs(_labelled(spark, d, sites, n), store, _sample_ids(spark, d), groups, n)
 
 
 _WORD_CODE = " + ".join(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitewise.functions.loci import chr_sort_key
 from sitewise.operators import audits, moving, reshape, sets, splits
 from sitewise.plans.book import query, r6, rs, sql
-from sitewise.plans.inputs import locus, me_long, samples, table
+from sitewise.plans.inputs import line_tasks, locus, me_long, samples, table
 
 SEED = 42
 
@@ -84,7 +84,7 @@ def split_ood(spark, d):
     ),
 )
 def four_way_split(spark, d):
-    return splits.four_way(me_long(spark, d), site_split(spark, d), sample_split(spark, d))
+    return splits.four_way(me_long(spark, d), site_split(spark, d), sample_split(spark, d), line_tasks(spark, d))
 
 
 @query(

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sitewise.operators import reshape
+from sitewise.operators import layout, reshape
 from sitewise.operators.store import write_bucketed
 from sitewise.plans import exports
 from sitewise.sources import readers, writers
@@ -54,6 +54,27 @@ def test_export_joins_sites_where_they_lie(spark):
     assert not any("Exchange" in line for line in above[:join])
 
 
+@pytest.mark.parametrize("query", ["export_pairs", "four_way_split"])
+def test_pairs_are_dealt_by_their_number_not_by_split(spark, query, monkeypatch):
+    """Dealt by the names of splits, all pairs would lie in four tasks at any size."""
+    from sitewise.plans import registry
+
+    want = sorted(map(str, registry.QUERIES[query](spark, SF).collect()))
+    monkeypatch.setattr(layout, "TASK_ROWS", 200)
+    tasks = layout.row_tasks(spark.read.parquet(f"{SF}/lineitem.parquet"))
+    assert tasks >= 25
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = registry.QUERIES[query](spark, SF)
+        plan = plan_of(frame)
+        assert sorted(map(str, frame.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(split" not in plan
+    top = re.findall(r"hashpartitioning\((?:cpg|sample)_idx#\d+L?, (\d+)\)", plan)
+    assert top.count(str(tasks)) >= 3
+
+
 def scanned(frame) -> int:
     """Rows that the parquet scans of a frame hand on when it runs."""
     frame.collect()
