@@ -88,3 +88,32 @@ def test_block_sums_do_not_depend_on_buffers(spark, cells, bins, pairs):
     for r in got.itertuples():
         both = want[[r.group_a]].join(want[[r.group_b]], rsuffix="_").dropna()
         assert r.n == len(both) and abs(r.pcc - np.corrcoef(both.iloc[:, 0], both.iloc[:, -1])[0, 1]) < 1e-9
+
+
+def test_pairs_of_groups_are_finished_where_their_blocks_meet(spark):
+    """No sum of a pair is shuffled, whatever the share of bins that two groups have in common."""
+    rng = np.random.default_rng(11)
+    rows = [("c", b, g, float(rng.random())) for b in range(150) for g in range(42) if rng.random() < (0.9 if b < 6 else 0.06)]
+    rows += [("d", b, g, 0.1) for b in range(7) for g in (42, 43)] + [("d", 7, 42, 0.7), ("d", 8, 43, 0.6), ("d", 1, 44, None)]
+    pdf = pd.DataFrame(rows, columns=["chr", "bin", "g", "v"])
+    frame = spark.createDataFrame(rows, "chr string, bin bigint, g bigint, v double")
+    pairs = cohort.sample_correlations(frame, "g", "v", block=4, cells_held=200, bins_held=2)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(group_a" not in plan
+    want = pdf.dropna().pivot(index=["chr", "bin"], columns="g", values="v")
+    n = want.notna().astype(int)
+    n, pcc = n.T @ n, want.corr(min_periods=2)
+    got = {(r.group_a, r.group_b): r for r in pairs.collect()}
+    assert set(got) == {(a, b) for a in n for b in n if a <= b and n.loc[a, b] > 0}
+    for (a, b), r in got.items():
+        assert r.n == n.loc[a, b]
+        if r.n > 2 and a < 42:
+            assert abs(r.pcc - pcc.loc[a, b]) < 1e-9
+    assert got[42, 43].n == 7 and got[42, 43].pcc is None and abs(got[42, 42].pcc - 1) < 1e-9
+    rounded = cohort.sample_correlations(frame, "g", "v", block=4, cells_held=200, decimals=3).where("group_a < group_b")
+    assert all(r.pcc is None or abs(r.pcc - got[r.group_a, r.group_b].pcc) < 5.1e-4 and round(r.pcc, 3) == r.pcc for r in rounded.collect())
+
+
+def test_no_cells_give_no_correlations(spark):
+    empty = spark.createDataFrame([("c", 1, 0, None)], "chr string, bin bigint, g bigint, v double")
+    assert cohort.sample_correlations(empty, "g", "v").count() == 0
