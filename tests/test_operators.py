@@ -193,6 +193,39 @@ def test_long_vectors_come_in_small_tasks(spark):
     assert [list(r.vector) for r in arrays.where("site = 75").collect()] == [[float(p % 10) for p in range(n)]]
 
 
+def test_a_task_gets_a_long_vector_once(spark):
+    """Pairs of a sample share the copy of their vector up to twice the bytes of a task, and copies travel in runs."""
+    text = "0123456789" * 100
+    texts = spark.createDataFrame([(0, text), (1, text[::-1]), (7, text)], "s int, v string")
+    pairs = spark.range(80).selectExpr("id as site", "case when id < 70 then 0 else 1 end as s")
+    got = reshape.attach_vectors(pairs, texts, "s", task_bytes=1500)
+    rows = got.select("site", "s", "v", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.site for r in rows) == list(range(80))
+    assert all(r.v == (text[::-1] if r.s else text) for r in rows)
+    assert len({(r.task, r.s) for r in rows}) == 40
+    assert max(pd.Series([r.task for r in rows]).value_counts()) == 2
+
+
+def test_vectors_are_cut_and_put_together(spark, monkeypatch):
+    monkeypatch.setattr(reshape, "PIECE", 3)
+    pairs = spark.createDataFrame(list(enumerate([1, 1, 2, 3, None, 4, 5, 1])), "site int, s int")
+    samples = [r.s for r in pairs.orderBy("site").collect()]
+    texts = {1: "a\nb,,c \U0001f600\u00e9d", 2: "", 3: None, 5: "xyz", None: "q"}
+    arrays = {1: [1.0, None, 3.0, 4.0, 5.0, 6.0, 7.0], 2: [], 3: None, 5: [None], None: [0.0]}
+    for held, kind in ((texts, "string"), (arrays, "array<double>")):
+        frame = spark.createDataFrame(list(held.items()), f"s int, v {kind}")
+        for size in (1, 40, 1 << 20):
+            rows = reshape.attach_vectors(pairs, frame, "s", task_bytes=size).orderBy("site").collect()
+            assert [r.s for r in rows] == samples
+            assert [r.v for r in rows] == [None if s is None else held.get(s) for s in samples]
+    cells = spark.range(40).selectExpr("id % 2 as s", "cast(id / 2 as bigint) as p", "case when id % 7 > 0 then cast(id as string) end as v")
+    monkeypatch.setattr(reshape, "RUN", 4)
+    runs, whole = reshape.text_runs(cells, "s", "p", "v"), reshape.sample_texts(cells, "s", "p", "v")
+    pairs = spark.range(9).selectExpr("id as site", "id % 3 as s")
+    want = {r.s: r.vector for r in whole.collect()}
+    assert all(r.vector == want.get(r.s) for r in reshape.attach_runs(pairs, runs, "s").collect())
+
+
 def test_subset_prunes_and_hot_key_ranks(spark):
     df = spark.range(5000).withColumn("k", F.when(F.col("id") % 10 < 9, "hot").otherwise(F.col("id").cast("string")))
     small = splits.random_subset(df, 40, ["id"], 3)
