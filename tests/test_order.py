@@ -114,6 +114,25 @@ def test_pairs_of_groups_are_finished_where_their_blocks_meet(spark):
     assert all(r.pcc is None or abs(r.pcc - got[r.group_a, r.group_b].pcc) < 5.1e-4 and round(r.pcc, 3) == r.pcc for r in rounded.collect())
 
 
+def test_blocks_of_groups_are_large_and_few(spark):
+    """Cells are sent once per block, and a block is many of the parts that a task unpacks at a time."""
+    rng = np.random.default_rng(12)
+    rows = [("c", int(b), g, float(rng.random())) for g in range(65) for b in rng.permutation(30)[:10]]
+    want = pd.DataFrame(rows, columns=["chr", "bin", "g", "v"]).pivot(index="bin", columns="g", values="v")
+    n, pcc = want.notna().astype(int).T @ want.notna().astype(int), want.corr(min_periods=3)
+    frame = spark.createDataFrame(rows, "chr string, bin bigint, g bigint, v double")
+    for held, tasks in ((16, 153), (1, 561)):
+        pairs = cohort.sample_correlations(frame, "g", "v", block=2, cells_held=20, parts_held=held)
+        assert pairs.rdd.getNumPartitions() == tasks
+        if held > 1:
+            got = pairs.collect()
+            assert sorted((r.group_a, r.group_b) for r in got) == [(a, b) for a in n for b in n if a <= b and n.loc[a, b] > 0]
+            assert all(r.n == n.loc[r.group_a, r.group_b] for r in got)
+            assert all(r.n < 3 or abs(r.pcc - pcc.loc[r.group_a, r.group_b]) < 1e-9 for r in got)
+    cells = np.array([3, 9, 2], "i4"), np.array([0, 0, 7], "i4"), np.array([0.5, -1.0, 1e300])
+    assert all((x == y).all() for x, y in zip(cohort._unpacked(3, cohort._packed(*cells)), cells, strict=True))
+
+
 def test_no_cells_give_no_correlations(spark):
     empty = spark.createDataFrame([("c", 1, 0, None)], "chr string, bin bigint, g bigint, v double")
     assert cohort.sample_correlations(empty, "g", "v").count() == 0
